@@ -162,23 +162,34 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     return score(docs, network, id_col, text_col)
 
 
+def _scores(network: Network, texts: list[str | None]) -> list[float]:
+    odds, at = [], 0
+    while at < len(texts):  # so many documents as have about AT_ONCE chunks
+        first, made, n = at, [], 0
+        while at < len(texts) and n < AT_ONCE:
+            made.append(chunks_of(texts[at]))
+            n += len(made[-1])
+            at += 1
+        each, end = network.log_odds(np.concatenate(made)).astype(np.float64), 0
+        for text, m in zip(texts[first:at], made, strict=True):
+            odds.append(np.average(each[end : end + len(m)], weights=_weights_of(text, len(m))))
+            end += len(m)
+    return [float(1 / (1 + np.exp(-o))) for o in odds]
+
+
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     plain = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
+    got = map_batches(plain, lambda x: {"doc_id": x["doc_id"], "score": _scores(network, x["text"])}, f"doc_id {dict(plain.dtypes)['doc_id']}, score double")
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def predicted_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, all columns, whose score is 0.5 or more; they don't leave their partition."""
+    network = Network().fit(*labelled_sample(docs, labels, id_col, text_col, label_col))
+    kinds = dict(docs.dtypes)
 
     def rows(x):
-        odds = []
-        texts = x["text"]
-        at = 0
-        while at < len(texts):  # so many documents as have about AT_ONCE chunks
-            made = []
-            while at < len(texts) and sum(map(len, made)) < AT_ONCE:
-                made.append(chunks_of(texts[at]))
-                at += 1
-            each = network.log_odds(np.concatenate(made))
-            ends = np.cumsum([len(m) for m in made])
-            for k, (m, end) in enumerate(zip(made, ends, strict=True)):
-                odds.append(float(np.average(each[end - len(m) : end].astype(np.float64), weights=_weights_of(texts[at - len(made) + k], len(m)))))
-        return {"doc_id": x["doc_id"], "score": [float(1 / (1 + np.exp(-o))) for o in odds]}
-
-    got = map_batches(plain, rows, f"doc_id {dict(plain.dtypes)['doc_id']}, score double")
-    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        good = [i for i, s in enumerate(_scores(network, x[text_col])) if s >= 0.5]
+        return {c: [v[i] for i in good] for c, v in x.items()}
+
+    return map_batches(docs, rows, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))

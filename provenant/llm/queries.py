@@ -21,12 +21,25 @@ def tokenizer_file(name: str) -> str:
         return os.path.join(TOKENIZERS, name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.pieces import digests, encode
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenant.llm.pii import pii_spans
 
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.html_wrappers import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenant.llm.quality_rules import quality_rules
 
@@ -39,18 +52,67 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenant.llm.packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provenant.llm.quality_classifier import quality_classifier
 
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op4_quality_rules, op5_minhash, op8_packing, op10_quality_classifier)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_main_text, op4_quality_rules, op5_minhash, op6_warc, op7_embeddings, op8_packing, op9_toxicity, op10_quality_classifier)}
+
+#: Components of undirected links a, b by repeated minima, for small tables.
+_CONNECTED = """
+  edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+  comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLES: dict[str, str] = {
+    "op5_minhash": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words),
+  each AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+  common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c, any_value(p.n) AS n, any_value(q.n) AS m FROM each p JOIN each q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id),
+  links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n + m - c)),
+  ids AS (SELECT doc_id AS id FROM documents),{_CONNECTED}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp ON comp.id = sets.doc_id""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+  f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op7_embeddings": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+  unit AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e) AND p.n > 0 AND q.n > 0 WHERE list_inner_product(p.e, q.e) / (p.n * q.n) >= 0.93),
+  ids AS (SELECT vec_id AS id FROM v),{_CONNECTED},
+  degree AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(degree.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN degree ON degree.id = v.vec_id""",
+}
