@@ -13,7 +13,7 @@ from provenant.llm.common import cut, table
 from provenant.llm.minhash import near_duplicates
 from provenant.llm.packing import best_fit_packing
 from provenant.llm.pii import redacted
-from provenant.llm.quality_classifier import quality_classifier
+from provenant.llm.quality_classifier import predicted_good
 from provenant.llm.quality_rules import quality_rules
 from provenant.llm.queries import tokenizer_file
 
@@ -31,12 +31,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to labelled ones among docs, predicts to be good."""
-    return _only(docs, quality_classifier(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    return predicted_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, once."""
-    return _only(docs, near_duplicates(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """The document of the smallest id of each group of near-duplicates. Repeated rows of an id are one document and stay."""
+    return _only(docs, near_duplicates(docs).filter("kept"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
