@@ -93,10 +93,10 @@ _CONNECTED = """
 ORACLES: dict[str, str] = {
     "op5_minhash": f"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
   sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words),
   each AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
   common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c, any_value(p.n) AS n, any_value(q.n) AS m FROM each p JOIN each q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id),
   links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n + m - c)),
@@ -109,8 +109,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op7_embeddings": f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
-  unit AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  unit AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e) AND p.n > 0 AND q.n > 0 WHERE list_inner_product(p.e, q.e) / (p.n * q.n) >= 0.93),
   ids AS (SELECT vec_id AS id FROM v),{_CONNECTED},
   degree AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
