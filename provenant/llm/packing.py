@@ -23,7 +23,7 @@ END = 0
 #: Groups in which pieces of one length are numbered; each holds this part of them.
 SALTS = 64
 #: Words that a worker remembers the ids of; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class WordIds:
@@ -196,7 +196,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     plan = best_fit_decreasing(counts, capacity)
     columns = [np.array(c, np.int64) for c in zip(*plan, strict=True)] if plan else [np.zeros(0, np.int64)] * 5
     order = Window.partitionBy("length", "salt").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
-    numbered = made.withColumn("rank", F.row_number().over(order)).join(F.broadcast(before), ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank") - 1)
+    numbered = made.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank") - 1)
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
     shift = int(columns[1].max()) + 1 if plan else 1
 
