@@ -4,10 +4,10 @@ A document's shingles are hashed once; its sketch is its K least hash values (DE
 generate pairs that overlap, the union's sketch estimates their similarity, and full shingle sets confirm links.
 
 Documents with equal sets are one class. In lists of any length each class is first compared with the list's hub, which
-is linear in the list. Only classes that are still in different components then meet in pairs. For lists longer than
-LONG_LIST, the classes in them are indexed again by their rarest values, few enough that any two that could be linked
-must share one, so a passage that very many documents hold generates no pairs unless it makes up most of them. No pair
-that could be linked is left out but with a chance under 10**-8.
+is linear in the list. Only classes that are still in different components then meet in pairs. Classes that could be
+linked through lists longer than LONG_LIST alone are indexed again by their rarest values, few enough that any two that
+could be linked must share one, so a passage that very many documents hold generates no pairs unless it makes up most of
+them. No pair that could be linked is left out but with a chance under 10**-8.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from provenant.llm.components import components
 K = 64
 #: Least values kept for classes that meet in long lists. Nearly all documents have fewer shingles, so these are their full sets.
 DEEP = 256
-#: Two sets of similarity 0.8 share none of so many least values with a chance of 0.2**12.
-INDEXED = 12
+#: Least values that have inverted lists. Two sets of similarity 0.8 share none of SURE given ones with a chance of 0.2**12.
+INDEXED, SURE = 16, 12
 LONG_LIST = 40
+#: Most ids that are broadcast, after a count; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Standard errors of the union sketch's estimate that a pair may lie below the threshold and still be confirmed.
 MARGIN = 6.0
 
@@ -118,15 +120,26 @@ def _close(per_cent: int) -> str:
     return f"100 * least(n_a, n_b) >= {per_cent} * greatest(n_a, n_b)"
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it has MOST_BROADCAST rows or fewer."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 class _Classes:
     """The classes of one call and what confirms links between them."""
 
-    def __init__(self, docs: DataFrame, plain: DataFrame, nodes: DataFrame, width: int, per_cent: int):
-        self.docs, self.plain, self.nodes, self.width, self.per_cent = docs, plain, nodes, width, per_cent
+    def __init__(self, plain: DataFrame, nodes: DataFrame, width: int, per_cent: int):
+        self.plain, self.nodes, self.width, self.per_cent = plain, nodes, width, per_cent
+
+    def _in(self, pairs: DataFrame) -> DataFrame:
+        """The classes in pairs a, b."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        return self.nodes.join(_few(cut(ids, "ids")), "id", "left_semi")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Adds sure (boolean) to pairs a, b: true if linked, null if full sets have to tell; drops the others."""
-        side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
+        nodes = self._in(pairs)
+        side = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
 
         t = self.per_cent / 100
@@ -134,6 +147,8 @@ class _Classes:
         # Least values are compared as unsigned integers, in which order the sketches were cut.
         least = "array_sort(array_union(s_a, s_b), (x, y) -> case when shiftrightunsigned(x, 1) < shiftrightunsigned(y, 1) then -1 when shiftrightunsigned(x, 1) > shiftrightunsigned(y, 1) then 1 when (x & 1) < (y & 1) then -1 when (x & 1) > (y & 1) then 1 else 0 end)"
         both = both.withColumn("exact", F.greatest("n_a", "n_b") <= K).withColumn("common", F.array_intersect("s_a", "s_b"))
+        # The union's least values hold no more common ones than the two sketches do; few are enough to drop a pair.
+        both = both.filter(F.col("exact") | (F.size("common") >= low * K))
         both = both.withColumn("top", F.when(~F.col("exact"), F.expr(f"slice({least}, 1, {K})")))
         both = both.withColumn("hits", F.when(F.col("exact"), F.size("common")).otherwise(F.size(F.array_intersect("common", "top"))).cast("long"))
         total = F.when(F.col("exact"), F.col("n_a") + F.col("n_b") - F.col("hits")).otherwise(F.size("top"))
@@ -142,22 +157,21 @@ class _Classes:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs a, b whose full sets are similar enough; the others went by their sketches."""
-        found = cut(self.estimated(pairs), "estimated")
+        found = cut(self.estimated(cut(pairs, "pairs")), "estimated")
         open_ = found.filter("sure is null").select("a", "b")
         if is_empty(open_):
             return found.filter("sure").select("a", "b")
-        wanted = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-        wanted = cut(wanted.join(self.nodes.select("node", "doc_id"), "node"), "wanted")
-        texts = self.plain.join(wanted.select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted_node")), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("wanted_node", "text")
+        wanted = _few(cut(self._in(open_).select(F.col("doc_id").alias("wanted_id"), "id", "node"), "wanted"))
+        texts = self.plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("id", "node", "text")
         width, per_cent = self.width, self.per_cent
 
         def again(x):
             sets = [shingle_set(t, width) for t in x["text"]]
-            same = [i for i, s in enumerate(sets) if len(s) and _fingerprint(s) == x["wanted_node"][i]]  # not another row of that id
-            return {"node": [x["wanted_node"][i] for i in same], "found": [sets[i].tobytes() for i in same]}
+            same = [i for i, s in enumerate(sets) if len(s) and _fingerprint(s) == x["node"][i]]  # not another row of that id
+            return {"id": [x["id"][i] for i in same], "found": [sets[i].tobytes() for i in same]}
 
-        sets = cut(map_batches(texts, again, "node binary, found binary").dropDuplicates(["node"]), "sets")
-        side = lambda s: sets.select(F.col("node").alias(s), F.col("found").alias(f"f_{s}"))
+        sets = cut(map_batches(texts, again, "id long, found binary"), "sets").dropDuplicates(["id"])
+        side = lambda s: sets.select(F.col("id").alias(s), F.col("found").alias(f"f_{s}"))
         both = open_.join(side("a"), "a").join(side("b"), "b")
 
         def verify(x):
@@ -169,7 +183,7 @@ class _Classes:
                     good.append(i)
             return {s: [x[s][i] for i in good] for s in ("a", "b")}
 
-        return found.filter("sure").select("a", "b").unionByName(map_batches(both, verify, "a binary, b binary"))
+        return found.filter("sure").select("a", "b").unionByName(map_batches(both, verify, "a long, b long"))
 
 
 def _prefix(t: float) -> F.Column:
@@ -195,65 +209,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     plain = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
     rows = cut(sketches(plain, width=width), "sketches")
-    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first(F.slice("sketch", 1, K)).alias("sketch")), "nodes")
-    of = _Classes(docs, plain, nodes, width, per_cent)
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first(F.slice("sketch", 1, K)).alias("sketch"))
+    nodes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # ids are fixed as they are written
+    of = _Classes(plain, nodes, width, per_cent)
+    t = per_cent / 100
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(_close(per_cent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # Lists of at least two classes, each with a hub.
-    values = nodes.select("node", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
-    lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("long"), F.min(F.struct(F.col("node").alias("node"), F.col("n").alias("n"))).alias("hub")).filter("long > 1")
+    values = nodes.select("id", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
+    lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n")).filter("long > 1")
     postings = cut(values.join(lists, "value"), "postings")
-    stars = postings.filter("hub.node <> node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-    links = cut(of.confirmed(stars.filter(_close(per_cent)).select("a", "b").distinct()), "links-stars")
+    stars = postings.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+    links = cut(of.confirmed(ordered(stars)), "links-stars")
 
     def labelled(table: DataFrame) -> DataFrame:
         """Adds comp, the smallest class of the component so far, and keeps lists that span several."""
-        roots = components(links)
-        comp = cut(table.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "labelled")
+        roots = components(links).withColumnRenamed("node", "id")
+        comp = cut(table.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "labelled")
         open_ = comp.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
-        return cut(comp.join(open_, "value"), "open")
-
-    def crossed(table: DataFrame) -> DataFrame:
-        """Pairs of classes of one list and of different components."""
-        side = lambda s: table.select("value", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"))
-        return side("a").join(side("b"), "value").filter("a < b and c_a <> c_b").filter(_close(per_cent)).select("a", "b").distinct()
+        return comp.join(open_, "value")
 
-    open_ = labelled(postings.select("value", "node", "n", "long"))
+    # Pairs of classes of one short list and of different components.
+    open_ = cut(labelled(postings.select("value", "id", "n", "long")), "open")
     short = open_.filter(F.col("long") <= LONG_LIST)
-    more = cut(of.confirmed(crossed(short)), "links-short")
+    side = lambda s: short.select("value", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"))
+    links = cut(links.unionByName(of.confirmed(ordered(side("a").join(side("b"), "value").filter("a < b and c_a <> c_b")))), "links-lists")
+
+    # A class of SURE values in short lists has met all it could be linked with there; so has one whose whole set is
+    # indexed, if fewer of its values are in long lists than a linked set must share.
     long_ = open_.filter(F.col("long") > LONG_LIST)
-    links = cut(links.unionByName(more), "links-lists")
-    held = long_.select("node").distinct()
+    many = postings.filter(F.col("long") > LONG_LIST).groupBy("id", "n").agg(F.count(F.lit(1)).alias("m"))
+    left = many.filter(F.when(F.col("n") <= INDEXED, F.col("m") >= F.ceil(F.col("n") * t)).otherwise(INDEXED - F.col("m") < SURE))
+    held = cut(long_.select("id").distinct().join(left.select("id"), "id"), "held")
     if not is_empty(held):
-        whole = rows.join(held, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        deep = cut(whole.select("node", "n", F.explode("sketch").alias("value")), "deep")
-        counts = deep.groupBy("value").agg(F.count(F.lit(1)).alias("long"))
-        ranked = deep.join(counts, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("long", "value"))).alias("all"))
+        fewer = _few(cut(nodes.join(_few(held), "id", "left_semi").select("id", "node"), "held-nodes"))
+        whole = rows.filter("node is not null").join(fewer, "node").groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        deep = cut(whole.select("id", "n", F.explode("sketch").alias("value")), "deep")
+        counts = cut(deep.groupBy("value").agg(F.count(F.lit(1)).alias("long")), "counts")
+        ranked = deep.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("long", "value"))).alias("all"))
         ranked = cut(ranked.withColumn("central", F.expr("aggregate(all, 0d, (a, x) -> a + ln(x.long)) / size(all)")), "ranked")
         # An original that many copies were made from holds the most frequent values. As the hub of its lists it brings
         # together what pairs of copies, which differ from each other twice as much, would not.
-        central = long_.join(ranked.select("node", "central"), "node")
-        hubs = central.groupBy("value").agg(F.max(F.struct("central", "node", "n", "comp")).alias("hub"))
-        spread = central.join(hubs, "value").filter("hub.comp <> comp").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-        near = of.confirmed(spread.filter(_close(per_cent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = cut(links.unionByName(near), "links-hubs")
+        central = long_.join(ranked.select("id", "central"), "id")
+        hubs = central.groupBy("value").agg(*(F.max_by(c, F.struct("central", "id")).alias(f"hub_{c}") for c in ("id", "n", "comp")))
+        spread = central.join(hubs, "value").filter("hub_comp <> comp").select(F.col("hub_id").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+        links = cut(links.unionByName(of.confirmed(ordered(spread))), "links-hubs")
         # A posting carries the rarer values before it: a pair is weighed in the list of its first common value only. The
         # sketches are compared inside the join, so pairs that aren't similar are never rows.
-        rare = ranked.withColumn("prefix", F.slice("all.value", F.lit(1), _prefix(per_cent / 100)))
-        rare = rare.select("node", "n", "prefix", F.posexplode("prefix").alias("place", "value")).withColumn("before", F.expr("slice(prefix, 1, place)")).drop("prefix", "place")
-        table = labelled(rare.join(counts.filter("long > 1").select("value"), "value"))
+        rare = ranked.withColumn("prefix", F.slice("all.value", F.lit(1), _prefix(t)))
+        rare = rare.select("id", "n", "prefix", F.posexplode("prefix").alias("place", "value")).withColumn("before", F.expr("slice(prefix, 1, place)")).drop("prefix", "place")
+        table = cut(labelled(rare.join(counts.filter("long > 1").select("value"), "value")), "rare-open")
         # In each list the largest component meets the others, but not itself.
-        sizes = table.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("main"))
-        table = table.join(sizes, "value").withColumn("main", F.col("main.comp") == F.col("comp")).join(ranked.select("node", F.col("all.value").alias("sketch")), "node")
+        sizes = table.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+        table = table.join(sizes, "value").withColumn("main", F.col("main") == F.col("comp")).join(ranked.select("id", F.col("all.value").alias("sketch")), "id")
         table = cut(table, "rare")
-        side = lambda s, t: t.select("value", *(F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("comp", "c"), ("main", "m"), ("before", "p"), ("sketch", "s"))), F.col("node").alias(s))
-        t = per_cent / 100
         low = t - MARGIN * math.sqrt(t * (1 - t) / DEEP)
         near = f"""c_a <> c_b and (m_b or a < b) and {_close(per_cent)} and not arrays_overlap(p_a, p_b)
             and if(greatest(n_a, n_b) <= {DEEP}, (100 + {per_cent}) * size(array_intersect(s_a, s_b)) >= {per_cent} * (n_a + n_b), size(array_intersect(s_a, s_b)) >= {low} * least(n_a, n_b, {DEEP}) - 1)"""
+        side = lambda s, t: t.select("value", *(F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("comp", "c"), ("main", "m"), ("before", "p"), ("sketch", "s"))), F.col("id").alias(s))
         pairs = side("a", table.filter("not main")).join(side("b", table), "value").filter(near)
-        links = cut(links.unionByName(of.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), "links-deep")
+        links = cut(links.unionByName(of.confirmed(ordered(pairs))), "links-deep")
 
-    roots = nodes.select("node", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = nodes.select("id", "node", "doc_id").join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     roots = cut(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
     found = cut(roots.join(smallest, "root").select("node", "component"), "found")
