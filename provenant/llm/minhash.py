@@ -7,7 +7,7 @@ Documents with equal sets are one class. In lists of any length each class is fi
 is linear in the list. Only classes that are still in different components then meet in pairs. Classes that could be
 linked through lists longer than LONG_LIST alone are indexed again by their rarest values, few enough that any two that
 could be linked must share one, so a passage that very many documents hold generates no pairs unless it makes up most of
-them. No pair that could be linked is left out but with a chance under 10**-8.
+them; parities of the full sets are compared inside that join, so only pairs that are similar become rows. No pair that could be linked is left out but with a chance under 10**-8.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ INDEXED, SURE = 16, 12
 LONG_LIST = 40
 #: Most ids that are broadcast, after a count; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Bits of a set's parities.
+PARITY = 8192
 #: Standard errors of the union sketch's estimate that a pair may lie below the threshold and still be confirmed.
 MARGIN = 6.0
 
@@ -104,6 +106,20 @@ def _fingerprint(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """PARITY bits, each telling whether oddly many of a set's values fall on it, as signed 64-bit integers.
+
+    Two sets' bits differ in no more places than the sets do, so they can rule out a pair but never wrongly.
+    """
+    bits = np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _differ(per_cent: int) -> str:
+    """That parities of a pair allow the similarity: sets of n_a and n_b values, so similar, differ in few enough."""
+    return f"(100 + {per_cent}) * aggregate(zip_with(o_a, o_b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x) <= (100 - {per_cent}) * (n_a + n_b)"
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """Columns doc_id, n_shingles (long), node (binary; the set's fingerprint, null if empty), sketch (array of long)."""
     plain = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
@@ -155,24 +171,30 @@ class _Classes:
         linked = F.col("hits") * 100 >= total * self.per_cent
         return both.filter(F.when(F.col("exact"), linked).otherwise(F.col("hits") >= total * low)).select("a", "b", F.when(F.col("exact"), F.lit(True)).alias("sure"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs a, b whose full sets are similar enough; the others went by their sketches."""
-        found = cut(self.estimated(cut(pairs, "pairs")), "estimated")
-        open_ = found.filter("sure is null").select("a", "b")
-        if is_empty(open_):
-            return found.filter("sure").select("a", "b")
-        wanted = _few(cut(self._in(open_).select(F.col("doc_id").alias("wanted_id"), "id", "node"), "wanted"))
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """Columns id, n, odd (parities) and found (the full set's bytes) of classes, from their texts. Stored."""
+        wanted = _few(cut(classes.select(F.col("doc_id").alias("wanted_id"), "id", "node"), "wanted"))
         texts = self.plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("id", "node", "text")
-        width, per_cent = self.width, self.per_cent
+        width = self.width
 
         def again(x):
             sets = [shingle_set(t, width) for t in x["text"]]
             same = [i for i, s in enumerate(sets) if len(s) and _fingerprint(s) == x["node"][i]]  # not another row of that id
-            return {"id": [x["id"][i] for i in same], "found": [sets[i].tobytes() for i in same]}
+            return {"id": [x["id"][i] for i in same], "n": [len(sets[i]) for i in same], "odd": [parities(sets[i]) for i in same], "found": [sets[i].tobytes() for i in same]}
+
+        return cut(map_batches(texts, again, "id long, n long, odd array<long>, found binary").dropDuplicates(["id"]), "sets")
 
-        sets = cut(map_batches(texts, again, "id long, found binary"), "sets").dropDuplicates(["id"])
-        side = lambda s: sets.select(F.col("id").alias(s), F.col("found").alias(f"f_{s}"))
-        both = open_.join(side("a"), "a").join(side("b"), "b")
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs a, b whose full sets are similar enough; the others went by their sketches."""
+        found = cut(self.estimated(cut(pairs, "pairs")), "estimated")
+        open_ = found.filter("sure is null").select("a", "b")
+        if is_empty(open_):
+            return found.filter("sure").select("a", "b")
+        sets = self.sets(self._in(open_))
+        side = lambda s, *more: sets.select(F.col("id").alias(s), *(F.col(x).alias(f"{x[0]}_{s}") for x in more))
+        near = open_.join(side("a", "n", "odd"), "a").join(side("b", "n", "odd"), "b").filter(_differ(self.per_cent)).select("a", "b")
+        both = cut(near, "near").join(side("a", "found"), "a").join(side("b", "found"), "b")
+        per_cent = self.per_cent
 
         def verify(x):
             good = []
@@ -257,18 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spread = central.join(hubs, "value").filter("hub_comp <> comp").select(F.col("hub_id").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
         links = cut(links.unionByName(of.confirmed(ordered(spread))), "links-hubs")
         # A posting carries the rarer values before it: a pair is weighed in the list of its first common value only. The
-        # sketches are compared inside the join, so pairs that aren't similar are never rows.
+        # parities are compared inside the join, so pairs that aren't similar are never rows.
         rare = ranked.withColumn("prefix", F.slice("all.value", F.lit(1), _prefix(t)))
         rare = rare.select("id", "n", "prefix", F.posexplode("prefix").alias("place", "value")).withColumn("before", F.expr("slice(prefix, 1, place)")).drop("prefix", "place")
         table = cut(labelled(rare.join(counts.filter("long > 1").select("value"), "value")), "rare-open")
         # In each list the largest component meets the others, but not itself.
         sizes = table.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        table = table.join(sizes, "value").withColumn("main", F.col("main") == F.col("comp")).join(ranked.select("id", F.col("all.value").alias("sketch")), "id")
+        table = table.join(sizes, "value").withColumn("main", F.col("main") == F.col("comp")).join(of.sets(nodes.join(_few(held), "id", "left_semi")).select("id", "odd"), "id")
         table = cut(table, "rare")
-        low = t - MARGIN * math.sqrt(t * (1 - t) / DEEP)
-        near = f"""c_a <> c_b and (m_b or a < b) and {_close(per_cent)} and not arrays_overlap(p_a, p_b)
-            and if(greatest(n_a, n_b) <= {DEEP}, (100 + {per_cent}) * size(array_intersect(s_a, s_b)) >= {per_cent} * (n_a + n_b), size(array_intersect(s_a, s_b)) >= {low} * least(n_a, n_b, {DEEP}) - 1)"""
-        side = lambda s, t: t.select("value", *(F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("comp", "c"), ("main", "m"), ("before", "p"), ("sketch", "s"))), F.col("id").alias(s))
+        near = f"c_a <> c_b and (m_b or a < b) and {_close(per_cent)} and not arrays_overlap(p_a, p_b) and {_differ(per_cent)}"
+        side = lambda s, t: t.select("value", *(F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("comp", "c"), ("main", "m"), ("before", "p"), ("odd", "o"))), F.col("id").alias(s))
         pairs = side("a", table.filter("not main")).join(side("b", table), "value").filter(near)
         links = cut(links.unionByName(of.confirmed(ordered(pairs))), "links-deep")
 
