@@ -9,6 +9,7 @@ each number looks up its bin and offset in the plan.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,21 @@ END = 0
 #: Groups in which pieces of one length are numbered; each holds this part of them.
 SALTS = 64
 #: Words that a worker remembers the ids of; beyond it, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+
+
+#: A comma or full stop after a letter, in lower case; to the tokenizer it begins a word of its own.
+_MARK = re.compile("[.,](?<=[a-z\xdf-\xf6\xf8-\xff].)")
+
+
+def _parted(text: str | None) -> list[str]:
+    """A text's pieces between spaces and line feeds; of Latin letters alone, in lower case and with marks parted."""
+    text = text or ""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:  # other letters have lower cases of their own
+        return text.replace("\n", " ").split(" ")
+    return _MARK.sub(r" \g<0>", text.lower()).replace("\n", " ").split(" ")
 
 
 class WordIds:
@@ -80,7 +95,7 @@ class WordIds:
             known[w] = known[low] + (known[mark] if mark else b"")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        parted = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        parted = [_parted(t) for t in texts]
         known = self.known
         new = {w for words in parted for w in words if w not in known}
         if new:
