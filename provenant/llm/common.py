@@ -72,8 +72,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, Iterable]], schema: str) -> DataFrame:
-    """mapInArrow of a function from a batch's columns, as lists, to the columns of its result."""
+def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, Iterable]], schema: str, arrow_columns: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow of a function from a batch's columns, as lists, to the columns of its result.
+
+    Those in arrow_columns are handed over as Arrow arrays; any column of the result may be one.
+    """
     bounded_batches(df.sparkSession)
     probe = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,8 +86,9 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = rows({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+                made = rows({name: batch.column(i) if name in arrow_columns else batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+                columns = [made[f.name] for f in arrow]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ traced back by itself between its two states. A text of one chunk has no inner b
 
 No piece joins another character to a following space mark, so between such places a chunk's path doesn't depend on its
 states: the matrix has a single column of states there, and the library encodes all between the first and the last at once.
+The text's own start and end are such places too.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ class Model:
             yield i + 1, -1
 
     def encode_between(self, text: str) -> list[int]:
-        """Ids of marked text that begins with one space mark, which the library's own prefix stands for."""
-        return self.sp.encode(text[1:].replace(SPACE, " "))
+        """Ids of marked text that begins with a space mark, which the library's own prefix stands for; it puts none before nothing."""
+        return self.ids_of(SPACE) if text == SPACE else self.sp.encode(text[1:].replace(SPACE, " "))
 
 
 @functools.lru_cache(maxsize=4)
@@ -152,9 +153,22 @@ class Chunk:
         self.m, self.text, self.offset, self.a, self.b, self.n = m, around, offset, a - offset, b - offset, n
         self.first: list[State | None] = [None] if a == 0 else list(states_at(m, around, self.a))
         self.last: list[State | None] = [None] if b == n else list(states_at(m, around, self.b))
-        # Forced ends of pieces within the chunk that no piece across its own ends can touch.
-        inside = [f.start() for f in _FORCED.finditer(around, self.a, self.b + 1) if (a == 0 or f.start() > self.a) and f.start() < self.b]
-        self.lo, self.hi = (inside[0], inside[-1]) if inside else (None, None)
+        # The first and the last forced end of a piece in the chunk, the text's start and end included, that no piece across the chunk's ends can touch.
+        self.lo: int | None = None
+        self.hi: int | None = None
+        if a == 0:
+            self.lo = 0
+        elif (found := _FORCED.search(around, self.a + 1, self.b + 1)) and found.start() < self.b:
+            self.lo = found.start()
+        if b == n:
+            self.hi = self.b
+            self.lo = self.hi if self.lo is None else self.lo
+        elif self.lo is not None:
+            self.hi = self.b
+            while self.hi > self.lo:
+                self.hi = max(around.rfind(SPACE, self.lo, self.hi), self.lo)
+                if around[self.hi - 1 : self.hi] != SPACE:
+                    break
 
     def _ends_at(self, came: dict[State, State | None], start: State | None, end: int) -> State | None:
         """The piece that ends at a forced end, reached from start."""
@@ -173,7 +187,9 @@ class Chunk:
         return last is not None, _trace(came, last, start) if last is not None else []
 
     def tail(self) -> dict[State, State | None]:
-        """Paths from the last forced end over the chunk's end."""
+        """Paths from the last forced end over the chunk's end; none where that is the text's end."""
+        if self.hi == len(self.text):
+            return {}
         piece: dict[State, State | None] = {}
         shifted = _paths(self.m, self.text[self.hi :], [None], self.b - self.hi)[None]
         move = lambda s: None if s is None else (s[0] + self.hi, s[1] + self.hi, s[2])
@@ -187,7 +203,7 @@ class Chunk:
         if self.lo is not None:
             to = self.tail()
             rows = np.array([0.0 if self.head(s)[0] else NO for s in self.first])
-            ends = [0.0 if (t in to if t is not None else any(s[1] == len(self.text) for s in to)) else NO for t in self.last]
+            ends = [0.0 if t is None or t in to else NO for t in self.last]
             return rows[:, None] + np.array(ends)[None, :]
         for i, s in enumerate(self.first):
             came = _paths(self.m, self.text, [s], self.b)[s] if s is None or s[1] < self.b else {}
@@ -201,10 +217,8 @@ class Chunk:
         s, t = self.first[i], self.last[j]
         flat = lambda path: [x for p in path for x in self.m.ids_of(self.text[p[0] : p[1]])]
         if self.lo is not None:
-            to = self.tail()
-            end = t if t is not None else next(x for x in sorted(to) if x[1] == len(self.text))
             middle = self.m.encode_between(self.text[self.lo : self.hi]) if self.hi > self.lo else []
-            return flat(self.head(s)[1]) + middle + flat(_trace(to, end, None))
+            return flat(self.head(s)[1]) + middle + flat(_trace(self.tail(), t, None))
         if s is not None and (t == s or (t is None and s[1] == len(self.text))):
             return []
         came = _paths(self.m, self.text, [s], self.b)[s]
@@ -247,6 +261,19 @@ def encode_text(m: Model, text: str | None, size: int = CHUNK) -> list[int]:
     return [x for c, i, j in zip(chunks, [0, *inner], [*inner, 0], strict=True) for x in c.ids(i, j)]
 
 
+def _listed(ids: list[list[int]]) -> pa.Array:
+    """Lists of ids as an Arrow array."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.concatenate([np.array(i, np.int32) for i in ids]) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _each(ids: pa.Array) -> list[np.ndarray]:
+    """The ids of each row; none of a null one."""
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(ids.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame:
     """A row for each row of docs: doc_id, ids (array of int). A null text is an empty one and has no ids.
 
@@ -260,7 +287,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def whole(x):
         m = model(model_path)
-        return {"doc_id": x["doc_id"], "ids": [encode_text(m, t, size) for t in x["text"]]}
+        return {"doc_id": x["doc_id"], "ids": _listed([encode_text(m, t, size) for t in x["text"]])}
 
     done = map_batches(short, whole, f"doc_id {kind}, ids array<int>")
     # A row's place is its id, its text's hash and its number among equals, so it is the same if a task runs again.
@@ -295,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def back(x):
         m = model(model_path)
         ids = [Chunk(m, t, lo, a, b, n).ids(i, j) for t, lo, a, b, n, i, j in zip(x["around"], x["lo"], x["a"], x["b"], x["n"], x["i"], x["j"], strict=True)]
-        return {"doc_id": x["doc_id"], "key": x["key"], "chunk": x["chunk"], "ids": ids}
+        return {"doc_id": x["doc_id"], "key": x["key"], "chunk": x["chunk"], "ids": _listed(ids)}
 
     traced = map_batches(chunks.join(states, ["key", "chunk"]), back, f"doc_id {kind}, key string, chunk int, ids array<int>")
     joined = traced.groupBy("key").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
@@ -303,25 +330,28 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return done.unionByName(joined.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))
 
 
+def _decoded(m: Model, ids: np.ndarray) -> str:
+    return m.sp.decode(ids.tolist()) if len(ids) else ""
+
+
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text: what the ids stand for. Null or no ids give an empty text."""
 
     def rows(x):
-        sp = model(model_path).sp
-        return {"doc_id": x["doc_id"], "text": [sp.decode(i) if i else "" for i in x["ids"]]}
+        return {"doc_id": x["doc_id"], "text": [_decoded(model(model_path), i) for i in _each(x["ids"])]}
 
     plain = encoded.select(column(encoded, id_col).alias("doc_id"), column(encoded, ids_col).alias("ids"))
-    return map_batches(plain, rows, f"doc_id {dict(plain.dtypes)['doc_id']}, text string")
+    return map_batches(plain, rows, f"doc_id {dict(plain.dtypes)['doc_id']}, text string", ("ids",))
 
 
 def digests(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens (long), ids_crc32 (long; of little-endian 32-bit ids), decoded_sha256 of the text decoded from ids."""
+    """doc_id, n_tokens (long), ids_crc32 (long; of little-endian 32-bit ids), decoded_sha256 of the text decoded from ids. Null ids are none."""
 
     def rows(x):
-        sp = model(model_path).sp
+        each = _each(x["ids"])
         return {
-            "doc_id": x["doc_id"], "n_tokens": list(map(len, x["ids"])), "ids_crc32": [zlib.crc32(np.array(i, "<u4").tobytes()) for i in x["ids"]],
-            "decoded_sha256": [hashlib.sha256((sp.decode(i) if i else "").encode("utf-8", "replace")).hexdigest() for i in x["ids"]],
+            "doc_id": x["doc_id"], "n_tokens": list(map(len, each)), "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in each],
+            "decoded_sha256": [hashlib.sha256(_decoded(model(model_path), i).encode("utf-8", "replace")).hexdigest() for i in each],
         }
 
-    return map_batches(encoded, rows, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return map_batches(encoded, rows, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_crc32 long, decoded_sha256 string", ("ids",))
