@@ -181,7 +181,8 @@ def test_pieces(spark, texts):
     m = pieces.model(MODEL)
     rng = random.Random(3)
     odd = ["", " ", "  a  b ", " " * 45, "日本 x", "the" * 40, "😀 ok", "a▁b"] + ["".join(rng.choice("aeiotnsr  .\n日") for _ in range(rng.randint(1, 90))) for _ in range(150)]
-    for size in (7, 16, 50):
+    odd += ["the cat of ", "of  ", "one two " * 9]
+    for size in (3, 7, 8, 16, 50):
         assert all(pieces.encode_text(m, t, size) == m.sp.encode(t) for t in odd)
     got = pieces.encode(_docs(spark, texts), MODEL, size=64).collect()
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), m.sp.encode(t or "")) for i, t in texts)
