@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import text as X
-from provenant.operators import graph, metrics, quotecheck, register
+from provenant.operators import citations, graph, mermaid, metrics, quotecheck, register
 from provenant.sources import html_units
 
 F_ = F.col
@@ -225,7 +225,38 @@ def units_html(s, d):
     return html_units.units(_t(s, d, "pages"), "page_id", "html").select("page_id", "locus", "text")
 
 
-QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html)}
+def _prose(s, d):
+    """A sentence for each supplier that cites in one of five ways."""
+    key, way = F.concat(F.lit("Key"), F_("s_suppkey").cast("string")), F_("s_suppkey") % 5
+    text = F.when(way == 0, F.concat(F.lit("As "), key, F.lit(" et al. (2003a #C1) say"))).when(way == 1, F.concat(key, F.lit(", Other, and Third 2004 agree")))
+    text = text.when(way == 2, F.concat(F.lit("by "), key, F.lit("&Other (2005)"))).when(way == 3, F.concat(F.lit("("), key, F.lit(" 2006), see Table (2007)"))).otherwise(F.concat(F.lit("since 2008 "), key, F.lit(" went on")))
+    return _t(s, d, "supplier").select("s_suppkey", text.alias("text"))
+
+
+def citations_extract(s, d):
+    return citations.citations(_prose(s, d), "s_suppkey", "text")
+
+
+def citations_resolve(s, d):
+    key = F_("s_suppkey").cast("string")
+    ledgers = _t(s, d, "supplier").filter("s_suppkey % 5 IN (0, 1)").select(F.when(F_("s_suppkey") % 5 == 0, F.concat(F.lit("Key"), key, F.lit("_2003_notes.md"))).otherwise(F.concat(F.lit("other"), key, F.lit("_2011.md"))).alias("name"))
+    aliases = _t(s, d, "supplier").filter("s_suppkey % 5 IN (1, 2)").select(F.concat(F.lit("key"), key, F.when(F_("s_suppkey") % 5 == 1, "_2004").otherwise("_2005")).alias("alias"), F.concat(F.lit("other"), key, F.lit("_2011")).alias("target"))
+    return citations.resolve(citations_extract(s, d), ledgers, aliases)
+
+
+def numeric_markers(s, d):
+    text = F.when(F_("doc_id") % 2 == 0, F.concat("text", F.lit(" seen [7, 9] before.⁵⁴ and x²"))).otherwise(F_("text"))
+    return _t(s, d, "documents").select("doc_id", F.size(citations.numeric_markers(text)).cast("long").alias("n_markers"))
+
+
+def mermaid_lines(s, d):
+    n = F.concat(F.lit("nation:n"), F_("n_nationkey").cast("string"))
+    nation = _t(s, d, "nation")
+    edges = nation.select(F.when(F_("n_nationkey") % 4 > 0, n).alias("source"), F.concat(F.lit("region:r"), F_("n_regionkey").cast("string")).alias("target"), F.when(F_("n_nationkey") % 5 == 0, "rebuts").otherwise("supports").alias("type"))
+    return mermaid.mermaid(nation.select(n.alias("node"), (F_("n_nationkey") % 7 == 0).alias("superseded")), edges)
+
+
+QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines)}
 
 _N = "regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a-z0-9]', '', 'g')"
 _D, _B = _N.format("d.text"), _N.format("b.text")
@@ -272,4 +303,9 @@ ORACLES = {
     "staleness": "SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') AS age_days, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') > 180 AS stale FROM events GROUP BY user_id",
     "posture_distance": "SELECT * FROM (VALUES ('light', 3::BIGINT, FALSE), ('usual', 1::BIGINT, TRUE), ('strict', 1::BIGINT, TRUE)) t(profile, distance, nearest)",
     "calibration_check": "SELECT p_partkey, CASE WHEN p_size % 9 = 0 OR p_retailprice / 2000 > 1 THEN 'range' WHEN p_retailprice / 2000 > p_size / 50 THEN 'above' END AS problem FROM part",
+    "citations_extract": "SELECT s_suppkey, 'key' || s_suppkey AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE WHEN s_suppkey % 5 = 0 THEN 'c1' END AS claim FROM supplier WHERE s_suppkey % 5 < 4",
+    "citations_resolve": "SELECT 'key' || s_suppkey AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE s_suppkey % 5 WHEN 0 THEN 'Key' || s_suppkey || '_2003_notes.md' WHEN 1 THEN 'other' || s_suppkey || '_2011.md' END AS name FROM supplier WHERE s_suppkey % 5 < 4",
+    "numeric_markers": r"SELECT doc_id, len(regexp_extract_all(t, '\[\d{1,3}(?:\s*[,–-]\s*\d{1,3})*\]')) + len(regexp_extract_all(t, '(?:[A-Za-z]{2}|[.,;:])[⁰¹²³⁴-⁹]+')) AS n_markers FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' seen [7, 9] before.⁵⁴ and x²' ELSE '' END AS t FROM documents)",
+    "mermaid_lines": """SELECT 0 AS part, 'graph TD' AS line UNION ALL SELECT 1, '  n_nation_n' || n_nationkey || CASE WHEN n_nationkey % 7 = 0 THEN '(["nation:n' || n_nationkey || '"])' ELSE '["nation:n' || n_nationkey || '"]' END FROM nation
+  UNION ALL SELECT 2, '  n_nation_n' || n_nationkey || CASE WHEN n_nationkey % 5 = 0 THEN ' -.->|rebuts|' ELSE ' -->|supports|' END || ' n_region_r' || n_regionkey FROM nation WHERE n_nationkey % 4 > 0""",
 }
