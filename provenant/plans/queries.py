@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import text as X
-from provenant.operators import citations, graph, mermaid, metrics, quotecheck, register
+from provenant.operators import binding, citations, graph, mermaid, metrics, quotecheck, records, register
 from provenant.sources import html_units
 
 F_ = F.col
@@ -227,7 +227,7 @@ def units_html(s, d):
 
 def _prose(s, d):
     """A sentence for each supplier that cites in one of five ways."""
-    key, way = F.concat(F.lit("Key"), F_("s_suppkey").cast("string")), F_("s_suppkey") % 5
+    key, way = F.concat(F.lit("Key"), F_("s_suppkey").cast("string"), F.lit("x")), F_("s_suppkey") % 5
     text = F.when(way == 0, F.concat(F.lit("As "), key, F.lit(" et al. (2003a #C1) say"))).when(way == 1, F.concat(key, F.lit(", Other, and Third 2004 agree")))
     text = text.when(way == 2, F.concat(F.lit("by "), key, F.lit("&Other (2005)"))).when(way == 3, F.concat(F.lit("("), key, F.lit(" 2006), see Table (2007)"))).otherwise(F.concat(F.lit("since 2008 "), key, F.lit(" went on")))
     return _t(s, d, "supplier").select("s_suppkey", text.alias("text"))
@@ -238,7 +238,7 @@ def citations_extract(s, d):
 
 
 def citations_resolve(s, d):
-    key = F_("s_suppkey").cast("string")
+    key = F.concat(F_("s_suppkey").cast("string"), F.lit("x"))  # no name is the start of another's
     ledgers = _t(s, d, "supplier").filter("s_suppkey % 5 IN (0, 1)").select(F.when(F_("s_suppkey") % 5 == 0, F.concat(F.lit("Key"), key, F.lit("_2003_notes.md"))).otherwise(F.concat(F.lit("other"), key, F.lit("_2011.md"))).alias("name"))
     aliases = _t(s, d, "supplier").filter("s_suppkey % 5 IN (1, 2)").select(F.concat(F.lit("key"), key, F.when(F_("s_suppkey") % 5 == 1, "_2004").otherwise("_2005")).alias("alias"), F.concat(F.lit("other"), key, F.lit("_2011")).alias("target"))
     return citations.resolve(citations_extract(s, d), ledgers, aliases)
@@ -256,7 +256,25 @@ def mermaid_lines(s, d):
     return mermaid.mermaid(nation.select(n.alias("node"), (F_("n_nationkey") % 7 == 0).alias("superseded")), edges)
 
 
-QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines)}
+def seal_check(s, d):
+    """Records of every benchmark item, every third one with a seal of something else."""
+    item, subject = F_("item_id").cast("string"), F.sha2("text", 256)
+    seal = F.sha2(F.concat(F.lit('{"id": "r'), item, F.lit('", "subject": "'), subject, F.lit('"}')), 256)
+    record = F.to_json(F.struct(subject.alias("subject"), F.when(F_("item_id") % 3 > 0, seal).otherwise("0").alias("record_sha256"), F.concat(F.lit("r"), item).alias("id")))
+    return _t(s, d, "benchmark").select("item_id", record.alias("record")).select("item_id", records.seal_of(F_("record")).alias("digest"), records.sealed(F_("record")).alias("sealed"))
+
+
+def units_bind(s, d):
+    """Turns as units, each quoted by a claim in one of several ways."""
+    c = _t(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    key, locus = F.concat(F.lit("c"), F_("conv_id").cast("string")).alias("key"), F.concat(F.lit("t"), F_("turn").cast("string"))
+    quote = F.when(F_("turn") % 3 == 2, "7 that no turn says 7").when(F_("turn") % 7 != 3, F.substring("text", 3, 30))
+    claims = c.select(key, F.when(F_("turn") % 5 == 4, "T99").otherwise(F.upper(locus)).alias("locus"), quote.alias("quote"), F.when(F_("conv_id") % 6 == 5, "x").otherwise("y").alias("stamp"))
+    manifests = c.select("conv_id").distinct().filter("conv_id % 9 > 0").select(key, F.lit("y").alias("source_sha256"), (F_("conv_id") % 4 != 1).alias("fully_enumerable"))
+    return binding.problems(claims, manifests, c.select(key, locus.alias("locus"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
 
 _N = "regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a-z0-9]', '', 'g')"
 _D, _B = _N.format("d.text"), _N.format("b.text")
@@ -303,9 +321,16 @@ ORACLES = {
     "staleness": "SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') AS age_days, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') > 180 AS stale FROM events GROUP BY user_id",
     "posture_distance": "SELECT * FROM (VALUES ('light', 3::BIGINT, FALSE), ('usual', 1::BIGINT, TRUE), ('strict', 1::BIGINT, TRUE)) t(profile, distance, nearest)",
     "calibration_check": "SELECT p_partkey, CASE WHEN p_size % 9 = 0 OR p_retailprice / 2000 > 1 THEN 'range' WHEN p_retailprice / 2000 > p_size / 50 THEN 'above' END AS problem FROM part",
-    "citations_extract": "SELECT s_suppkey, 'key' || s_suppkey AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE WHEN s_suppkey % 5 = 0 THEN 'c1' END AS claim FROM supplier WHERE s_suppkey % 5 < 4",
-    "citations_resolve": "SELECT 'key' || s_suppkey AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE s_suppkey % 5 WHEN 0 THEN 'Key' || s_suppkey || '_2003_notes.md' WHEN 1 THEN 'other' || s_suppkey || '_2011.md' END AS name FROM supplier WHERE s_suppkey % 5 < 4",
+    "citations_extract": "SELECT s_suppkey, 'key' || s_suppkey || 'x' AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE WHEN s_suppkey % 5 = 0 THEN 'c1' END AS claim FROM supplier WHERE s_suppkey % 5 < 4",
+    "citations_resolve": "SELECT 'key' || s_suppkey || 'x' AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE s_suppkey % 5 WHEN 0 THEN 'Key' || s_suppkey || 'x_2003_notes.md' WHEN 1 THEN 'other' || s_suppkey || 'x_2011.md' END AS name FROM supplier WHERE s_suppkey % 5 < 4",
     "numeric_markers": r"SELECT doc_id, len(regexp_extract_all(t, '\[\d{1,3}(?:\s*[,–-]\s*\d{1,3})*\]')) + len(regexp_extract_all(t, '(?:[A-Za-z]{2}|[.,;:])[⁰¹²³⁴-⁹]+')) AS n_markers FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' seen [7, 9] before.⁵⁴ and x²' ELSE '' END AS t FROM documents)",
     "mermaid_lines": """SELECT 0 AS part, 'graph TD' AS line UNION ALL SELECT 1, '  n_nation_n' || n_nationkey || CASE WHEN n_nationkey % 7 = 0 THEN '(["nation:n' || n_nationkey || '"])' ELSE '["nation:n' || n_nationkey || '"]' END FROM nation
   UNION ALL SELECT 2, '  n_nation_n' || n_nationkey || CASE WHEN n_nationkey % 5 = 0 THEN ' -.->|rebuts|' ELSE ' -->|supports|' END || ' n_region_r' || n_regionkey FROM nation WHERE n_nationkey % 4 > 0""",
+    "seal_check": """SELECT item_id, sha256('{"id": "r' || item_id || '", "subject": "' || sha256(text) || '"}') AS digest, item_id % 3 > 0 AS sealed FROM benchmark""",
+    "units_bind": f"""WITH c AS (SELECT 'c' || conv_id AS key, conv_id AS i, turn, coalesce(text, '') AS text FROM conversations),
+  e AS (SELECT key, i, turn, {_N.format('text')} AS n, {_N.format("CASE WHEN turn % 3 = 2 THEN '7 that no turn says 7' WHEN turn % 7 <> 3 THEN substr(text, 3, 30) END")} AS q FROM c WHERE i % 9 > 0)
+  SELECT DISTINCT key, CAST(NULL AS VARCHAR) AS locus, 'no manifest' AS problem, TRUE AS hard FROM c WHERE i % 9 = 0
+  UNION ALL SELECT DISTINCT key, NULL, 'other bytes', i % 4 <> 1 FROM e WHERE i % 6 = 5
+  UNION ALL SELECT key, CASE WHEN turn % 5 = 4 THEN 't99' ELSE 't' || turn END, CASE WHEN turn % 5 = 4 THEN 'unknown locus' WHEN q IS NULL THEN 'no quote' ELSE 'outside' END, i % 4 <> 1
+  FROM e WHERE turn % 5 = 4 OR q IS NULL OR NOT contains(n, q)""",
 }
