@@ -44,12 +44,16 @@ def closure(under: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
 
 
 def cuts(under: DataFrame) -> DataFrame:
-    """node, cut: ancestors without which some other ancestor no longer reaches the node."""
+    """node, cut: ancestors without which some other ancestor no longer reaches the node.
+
+    A cut always parts the node from one of the nodes right below the cut: were each of these reached some other way, so
+    would be all below them. So only ancestors with something below are tried, and only what is right below is compared.
+    """
     all_ = closure(under)
-    candidates = all_.select("node", F.col("ancestor").alias("blocked")).filter("node <> blocked")
+    below = under.select(F.col("upper").alias("blocked"), F.col("lower").alias("ancestor")).filter("blocked <> ancestor")
+    candidates = all_.select("node", F.col("ancestor").alias("blocked")).filter("node <> blocked").join(below, "blocked", "left_semi")
     without = closure(under, candidates)
-    expected = all_.join(candidates, "node").filter("ancestor <> blocked")
-    return expected.join(without, ["node", "ancestor", "blocked"], "left_anti").select("node", F.col("blocked").alias("cut")).distinct()
+    return candidates.join(below, "blocked").join(without, ["node", "ancestor", "blocked"], "left_anti").select("node", F.col("blocked").alias("cut")).distinct()
 
 
 def load_bearing(edges: DataFrame) -> DataFrame:

@@ -105,6 +105,11 @@ def articulation(s, d):
     return graph.cuts(graph.underpins(small))
 
 
+def articulation_all(s, d):
+    """As articulation, over the edges of all suppliers."""
+    return graph.cuts(graph.underpins(_edges(s, d)))
+
+
 def double_count(s, d):
     e = _edges(s, d).filter("type = 'supports'")
     n = _t(s, d, "nation").select(F.concat(F.lit("nation:n"), F_("n_nationkey").cast("string")).alias("node"), F_("n_nationkey").alias("k"))
@@ -274,7 +279,7 @@ def units_bind(s, d):
     return binding.problems(claims, manifests, c.select(key, locus.alias("locus"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
+QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, articulation_all, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
 
 _N = "regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a-z0-9]', '', 'g')"
 _D, _B = _N.format("d.text"), _N.format("b.text")
@@ -334,3 +339,5 @@ ORACLES = {
   UNION ALL SELECT key, CASE WHEN turn % 5 = 4 THEN 't99' ELSE 't' || turn END, CASE WHEN turn % 5 = 4 THEN 'unknown locus' WHEN q IS NULL THEN 'no quote' ELSE 'outside' END, i % 4 <> 1
   FROM e WHERE turn % 5 = 4 OR q IS NULL OR NOT contains(n, q)""",
 }
+#: articulation's SQL over all edges.
+ORACLES["articulation_all"] = ORACLES["articulation"].replace(_UNDER_SMALL, _UNDER)
