@@ -89,14 +89,16 @@ _STOPS = ("dot", "punkt", "point", "punto")
 
 _FLAGS = re.IGNORECASE
 _NUMBER = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
-#: Number words and digits in a row, from two number words on, with what separates them.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_NUMBER}|[0-9]+)\W{{1,3}}){{0,400}}?{_NUMBER}\W{{1,3}}{_NUMBER}(?:\W{{1,3}}(?:{_NUMBER}|[0-9]+|(?:dot|point|punkt|punto)(?=\W{{1,3}}(?:{_NUMBER}|[0-9]))))*(?!\w)", _FLAGS)
-_SPELLED_HINT = re.compile(rf"(?<!\w){_NUMBER}\W{{1,3}}{_NUMBER}(?!\w)", _FLAGS)
+_ITEM = rf"(?:(?:{_NUMBER}|[0-9]++)(?!\w)|(?:{'|'.join(_STOPS)})(?=\W{{1,3}}(?:{_NUMBER}|[0-9]++)(?!\w)))"
+#: Number words and digits in a row, two or more, with what separates them.
+_SPELLED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?{_ITEM}(?:\W{{1,3}}{_ITEM})++", _FLAGS)
+#: Least digits of an identifier.
+_LEAST_DIGITS = 4
 _TOKEN = re.compile(r"\w+|\+", _FLAGS)
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", _FLAGS)
 _DOT = re.compile(rf"\s*[\[({{<]\s*(?:{'|'.join(_STOPS)}|\.)\s*[\])}}>]\s*", _FLAGS)
 #: A name, the word at or a spaced @, and labels parted by the word dot or a full stop, the last of letters.
-_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]+){0,4}(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,10}(?![A-Za-z0-9])", _FLAGS)
+_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,}(?![A-Za-z0-9])", _FLAGS)
 _LABEL_DOT = re.compile(r"\s+dot\s+|\s*\.\s*", _FLAGS)
 
 
@@ -164,21 +166,29 @@ def homoglyphs(m: Mapped) -> Mapped:
     return m.rewritten([(i, i + 1, _known[c]) for i, c in enumerate(m.text) if c in odd]) if odd else m
 
 
-def spelled_digits(m: Mapped) -> Mapped:
-    """Runs of number words, digits among them allowed, become digits; a leading plus becomes its sign, dot a full stop."""
-    if not _SPELLED_HINT.search(m.text):
-        return m
+def spelled_digits(m: Mapped, apart: bool = False) -> Mapped:
+    """Runs of digits and number words, one at least, become digits; a leading plus becomes its sign, dot a full stop.
+
+    What separates them goes; with apart, it stays between digits, and a full stop stays one.
+    """
     edits = []
     for run in _SPELLED.finditer(m.text):
+        found = list(_TOKEN.finditer(m.text, run.start(), run.end()))
+        words = [t[0].lower() in _NUMBERS for t in found]
+        if not any(words) or sum(words) < 2 and sum(len(t[0]) for t in found if t[0].isdecimal()) + 1 < _LEAST_DIGITS:
+            continue
         last = None
-        for token in _TOKEN.finditer(m.text, run.start(), run.end()):
+        for token in found:
             word = token[0].lower()
             new = "+" if word in ("plus", "+") else "." if word in _STOPS else "".join(_NUMBERS.get(word, word))
-            if last is not None and token.start() > last:
-                edits.append((last, token.start(), ""))
+            if last is not None and token.start() > last.end():
+                between = m.text[last.end() : token.start()]
+                stop = "." if apart and between.strip() == "." else ""
+                if between != stop and not (apart and last[0].isdecimal() and token[0].isdecimal()):
+                    edits.append((last.end(), token.start(), stop))
             if new != token[0]:
                 edits.append((*token.span(), new))
-            last = token.end()
+            last = token
     return m.rewritten(edits)
 
 
@@ -208,14 +218,16 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     order = lambda s: (s.start, KINDS.index(s.kind))
     base = sorted(plain_spans(text), key=order)
-    m = at_and_dot(spelled_digits(homoglyphs(Mapped(text))))
-    if not m.changed.any():
-        return base, []
+    plain = homoglyphs(Mapped(text))
+    close, apart = spelled_digits(plain), spelled_digits(plain, apart=True)
     added: list[Span] = []
-    for span in sorted(plain_spans(m.text), key=lambda s: KINDS.index(s.kind)):
-        at, rewritten = m.source(span)
-        if rewritten and not any(at.start < b.end and b.start < at.end for b in base) and not any(at.start < b.end and b.start < at.end for b in added):
-            added.append(at)
+    for m in map(at_and_dot, (close,) if close.text == apart.text else (close, apart)):
+        if not m.changed.any():
+            continue
+        for span in sorted(plain_spans(m.text), key=lambda s: KINDS.index(s.kind)):
+            at, rewritten = m.source(span)
+            if rewritten and not any(at.start < b.end and b.start < at.end for b in base) and not any(at.start < b.end and b.start < at.end for b in added):
+                added.append(at)
     return base, sorted(added, key=order)
 
 

@@ -145,6 +145,25 @@ def test_pii(spark):
     assert pii.redact("x a@b.cc y") == "x [EMAIL] y"
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("tel +1 five 5 five 0 one 2 three 4 six 7 ok", "phone", "+1 five 5 five 0 one 2 three 4 six 7"),
+        ("+1 (988) 555 two 485", "phone", None),
+        ("card 4111 one 111 one 111 one 111 now", "card", "4111 one 111 one 111 one 111"),
+        ("in 2020, 4111 one 111 1111 1111", "card", "4111 one 111 1111 1111"),
+        ("at 192.168.one.7 now", "ip", "192.168.one.7"),
+        ("192 dot 168 dot 1 dot seven", "ip", None),
+        ("1 2 " * 410 + "/// " + "plus 1 5 5 5 0 1 2 3 4 6 seven", "phone", "plus 1 5 5 5 0 1 2 3 4 6 seven"),
+        ("a" * 70 + " at mail dot example", "email", None),
+        ("ann at a dot b dot c dot d dot e dot f dot international", "email", None),
+    ],
+)
+def test_pii_mixed_and_long(text, kind, part):
+    base, added = pii.find_spans(text)
+    assert not base and [(s.kind, text[s.start : s.end]) for s in added] == [(kind, part or text)]
+
+
 def test_packing(spark, texts):
     import bisect
 
