@@ -219,6 +219,15 @@ def test_html(spark):
     assert len(got) == 8 and "T2\nText 2\nmore 2\nmore 2" in by.values() and by[8, 0] == "" and by[9, 0] == ""
 
 
+def test_html_constants(spark):
+    """What all pages of a layout share goes, within an article as well; a host of one page has no wrapper."""
+    page = lambda i: f"<body><div class=top>Site</div><article><h1>Title {i}</h1><p>Words of story {i} only</p><p>Follow us daily</p></article>"
+    rows = [(i, "http://h.example/a", page(i)) for i in range(40)] + [(200, "http://alone.example/", page(7))]
+    got = {r.page_id: r.text for r in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nWords of story {i} only" for i in range(40))
+    assert got[200] == "Title 7\nWords of story 7 only\nFollow us daily"
+
+
 def test_warc(spark):
     rng = random.Random(6)
     body = "".join(rng.choice("abcdef <>é") for _ in range(3000))
