@@ -228,6 +228,15 @@ def test_html_constants(spark):
     assert got[200] == "Title 7\nWords of story 7 only\nFollow us daily"
 
 
+def test_html_layouts(spark):
+    """Each layout of a host has its own wrapper, however few of the host's pages have it."""
+    one = lambda i: f"<body><div class=a><p>Words of story {i} only</p></div><div class=b>Site</div>"
+    two = lambda i: f"<body><div class=q>Shop</div><div class=w><p>Goods {i} are sold here</p><p>All prices are final</p></div><div class=e>Terms</div>"
+    rows = [(i, "http://h.example/a", one(i)) for i in range(60)] + [(100 + i, "http://h.example/b", two(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Words of story {i} only" for i in range(60)) and all(got[100 + i] == f"Goods {i} are sold here" for i in range(3))
+
+
 def test_warc(spark):
     rng = random.Random(6)
     body = "".join(rng.choice("abcdef <>é") for _ in range(3000))
