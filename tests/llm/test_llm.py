@@ -95,6 +95,17 @@ def test_rules_reject_outliers(spark):
     assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in bad)
 
 
+def test_rules_reject_tables(spark):
+    """Words parted by bars are rejected; a repeated line and short texts are not."""
+    rng = random.Random(1)
+    text = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    good = [(i, " ".join(text(rng.randint(80, 300)))) for i in range(200)]
+    good += [(300 + i, "\n".join([" ".join(text(100)), line := " ".join(text(8)), line])) for i in range(5)]
+    bad = [(1000 + i, " | ".join(w + v for w, v in zip(text(80), text(80), strict=True))) for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(_docs(spark, good + bad)).collect()}
+    assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in bad)
+
+
 def test_classifier_and_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
