@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from provenant.llm.common import column, cut
 
 SPACE = r"[ \x09-\x0D]+"
-#: Least documents that a language and source needs for an estimate of its own; smaller ones of a language are pooled.
+#: Least documents that a language and source needs for an estimate of its own; smaller ones of a language are pooled, and
+#: documents of smaller pools are judged by the estimate of all documents together.
 MIN_GROUP = 60
 #: Part of a group that a concentration step keeps.
 SUBSET = 0.75
@@ -149,8 +150,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Judges every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
-    distance (double; null where no estimate applies). A null text is empty and fails; a null language or source is a
-    group like any other; a group, pool included, of fewer than MIN_GROUP documents gives no estimate and rejects none.
+    distance (double; null where the base rules fail). A null text is empty and fails; a null language or source is a
+    group like any other. The least deviations bound an estimate of however few documents from below.
     Repeated rows are judged alike, an empty table gives an empty result, other columns are ignored.
     """
     ids = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), F.coalesce(column(docs, lang_col), F.lit("\x00")).alias("lang"), F.coalesce(column(docs, source_col), F.lit("\x00")).alias("source"))
@@ -159,11 +160,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sound = stats.filter("not base_failed")
     sizes = cut(sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("pool", F.when(F.col("n") >= MIN_GROUP, F.concat(F.lit("="), "source")).otherwise(F.lit("*"))), "sizes")
     pools = sizes.groupBy("lang", "pool").agg(F.sum("n").alias("n_pool")).filter(F.col("n_pool") >= MIN_GROUP)
-    groups = sizes.join(pools, ["lang", "pool"]).select("lang", "source", "pool")
+    groups = cut(sizes.join(pools, ["lang", "pool"]).select("lang", "source", "pool"), "groups")
+    all_judged = groups.count() == sizes.count()
     groups = F.broadcast(groups) if sizes.count() <= BROADCAST_GROUPS else groups
     plain = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     placed = stats.join(groups, ["lang", "source"], "left").withColumn("pool", F.when(~F.col("base_failed"), F.col("pool")))
-    judged = robust_distance(cut(placed.filter("pool is not null").select(*plain, "lang", "pool", *STATS), "judged"), ["lang", "pool"], STATS)
+    sound = placed.filter("not base_failed").select(*plain, "lang", "pool", *STATS)
+    asked = sound.filter("pool is not null").withColumn("asked", F.lit(True))
+    if not all_judged:
+        asked = asked.unionByName(sound.withColumn("asked", F.col("pool").isNull()).withColumns({"lang": F.lit("\x01"), "pool": F.lit("\x01")}))
+    judged = robust_distance(cut(asked, "judged"), ["lang", "pool"], STATS).filter("asked")
     judged = judged.select(*plain, (F.col("distance") <= CUTOFF).alias("kept"), "distance")
-    rest = placed.filter("pool is null").select(*plain, (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    rest = placed.filter("base_failed").select(*plain, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(rest)

@@ -106,6 +106,17 @@ def test_rules_reject_tables(spark):
     assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in bad)
 
 
+def test_rules_judge_small_groups(spark):
+    """A document of a rare language is judged by the estimate of all; a small table as well."""
+    rng = random.Random(1)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(80, 300)))
+    rows = [(i, text(), "en", "s", None, "x", 1) for i in range(200)] + [(300, text(), "xx", "s", None, "x", 1), (301, " ".join(f"#$%!{i}" for i in range(100)), "xx", "s", None, "x", 1)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, DOC)).collect()}
+    assert got[300].kept and not got[301].base_failed and not got[301].kept
+    few = quality_rules.quality_rules(spark.createDataFrame(rows[180:], DOC)).collect()
+    assert all(r.distance is not None and r.kept == (r.doc_id != 301) for r in few)
+
+
 def test_classifier_and_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
