@@ -259,6 +259,44 @@ def test_html_layouts(spark):
     assert all(got[i] == f"Words of story {i} only" for i in range(60)) and all(got[100 + i] == f"Goods {i} are sold here" for i in range(3))
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article class='post has-sidebar'><p>Main text</article><p>after", "Main text"),
+        ("<main class='no-comments'><p>Main text</main>", "Main text"),
+        ("<form><div class=sidebar>Side</div><article><p>Main text</article></form>", "Main text"),
+        ("<form action=x><p>Long enough main text</p></form><p>x", "Long enough main text\nx"),
+        ("<p>Long enough main text</p><form><p>Mail</p></form>", "Long enough main text"),
+        ("<div class='widget'><main><p>Main text</main></div>", "Main text"),
+        ("<div class='site-footer'>Foot</div><div class='cookie-notice'>Ok</div><div class='relatedPosts'>More</div><p>Main text", "Main text"),
+        ("<nav>Menu</nav>" * 3 + "<p>" * 3 + "Main text", "Main text"),
+    ],
+)
+def test_html_marks(page, want):
+    """Boilerplate is marked by whole names and never around the main text."""
+    assert html_wrappers.extract(page) == want
+
+
+def test_html_deep():
+    page = "<div class=x>t" * 4000
+    assert html_wrappers.extract(page) == "\n".join("t" * 4000)
+
+
+def test_html_renamed(spark):
+    """Neither names of elements nor class names tell the main text here: the wrapper's region does, against texts marked by hand."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        paras = [words(rng.randint(20, 60)) for _ in range(rng.randint(1, 4))]
+        links = "".join(f"<div class=qd>{words(1)}</div>" for _ in range(5))
+        body = f"<div class=qa>{links}</div><div class=qb>{words(6)}</div><div class=qc><div class=qe>{words(8)}</div>" + "".join(f"<p>{t}</p>" for t in paras) + f"<div class=qg>Follow us on all channels</div></div><div class=qf>{words(5)}</div>"
+        rows.append((i, "http://renamed.example/a", f"<html><body>{body}"))
+        want[i] = paras
+    got = html_wrappers.decided(html_wrappers._plain(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")).collect()
+    assert all(r.by == "wrapper" and r.text.split("\n")[1:] == want[r.page_id] for r in got)
+
+
 def test_warc(spark):
     rng = random.Random(6)
     body = "".join(rng.choice("abcdef <>é") for _ in range(3000))
