@@ -3,11 +3,13 @@
 Plain identifiers are found by fixed patterns. Then three transducers rewrite the text, each keeping for every character
 the source characters it stands for: homoglyphs become ASCII, spelled digits become digits, at/dot disguises become @
 and a full stop. The same patterns run over the rewritten text, and what they find is mapped back to the source. A found
-span is added if it holds a rewritten place and touches no plain one.
+span is added if it holds a rewritten place and overlaps no other span of its kind. All patterns take time in proportion
+to the text.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -29,7 +31,7 @@ class Span(NamedTuple):
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -95,10 +97,11 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?{_ITEM}(?:\W{{1,3}}{_ITEM})++"
 #: Least digits of an identifier.
 _LEAST_DIGITS = 4
 _TOKEN = re.compile(r"\w+|\+", _FLAGS)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*", _FLAGS)
-_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{'|'.join(_STOPS)}|\.)\s*[\])}}>]\s*", _FLAGS)
+#: Bracketed signs; white space around them goes too. They begin with the bracket, so runs of spaces are read once.
+_AT = re.compile(r"[\[({<]\s*+(?:at|@)\s*+[\])}>]", _FLAGS)
+_DOT = re.compile(rf"[\[({{<]\s*+(?:{'|'.join(_STOPS)}|\.)\s*+[\])}}>]", _FLAGS)
 #: A name, the word at or a spaced @, and labels parted by the word dot or a full stop, the last of letters.
-_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,}(?![A-Za-z0-9])", _FLAGS)
+_SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\s++at\s++|\s*+@\s*+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]+)*(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,}(?![A-Za-z0-9])", _FLAGS)
 _LABEL_DOT = re.compile(r"\s+dot\s+|\s*\.\s*", _FLAGS)
 
 
@@ -192,12 +195,24 @@ def spelled_digits(m: Mapped, apart: bool = False) -> Mapped:
     return m.rewritten(edits)
 
 
+def _bracketed(m: Mapped, sign: re.Pattern[str], new: str) -> Mapped:
+    edits, at, text = [], 0, m.text
+    for x in sign.finditer(text):
+        a, b = x.span()
+        while a > at and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, new))
+        at = b
+    return m.rewritten(edits)
+
+
 def at_and_dot(m: Mapped) -> Mapped:
     """Bracketed at and dot, then spaced or spelled ones within what would be an address."""
     low = m.text.lower()
     if any(x in low for x in "[({<"):
-        m = m.rewritten([(*x.span(), "@") for x in _AT.finditer(m.text)])
-        m = m.rewritten([(*x.span(), ".") for x in _DOT.finditer(m.text)])
+        m = _bracketed(_bracketed(m, _AT, "@"), _DOT, ".")
     if "@" not in m.text and "dot" not in low:
         return m
     edits = []
@@ -221,12 +236,18 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     plain = homoglyphs(Mapped(text))
     close, apart = spelled_digits(plain), spelled_digits(plain, apart=True)
     added: list[Span] = []
+    taken: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}  # spans of a kind, in order and apart
+    for s in base:
+        taken[s.kind].append((s.start, s.end))
     for m in map(at_and_dot, (close,) if close.text == apart.text else (close, apart)):
         if not m.changed.any():
             continue
-        for span in sorted(plain_spans(m.text), key=lambda s: KINDS.index(s.kind)):
+        for span in plain_spans(m.text):
             at, rewritten = m.source(span)
-            if rewritten and not any(at.start < b.end and b.start < at.end for b in base) and not any(at.start < b.end and b.start < at.end for b in added):
+            mine = taken[at.kind]
+            i = bisect.bisect_left(mine, (at.start, at.end))
+            if rewritten and not (i and mine[i - 1][1] > at.start) and not (i < len(mine) and mine[i][0] < at.end):
+                mine.insert(i, (at.start, at.end))
                 added.append(at)
     return base, sorted(added, key=order)
 

@@ -179,6 +179,8 @@ def test_pii(spark):
         ("1 2 " * 410 + "/// " + "plus 1 5 5 5 0 1 2 3 4 6 seven", "phone", "plus 1 5 5 5 0 1 2 3 4 6 seven"),
         ("a" * 70 + " at mail dot example", "email", None),
         ("ann at a dot b dot c dot d dot e dot f dot international", "email", None),
+        ("a" * 65 + " at example dot com", "email", None),
+        ("john at a dot b dot c dot d dot e dot f dot g dot com", "email", None),
     ],
 )
 def test_pii_mixed_and_long(text, kind, part):
@@ -186,6 +188,27 @@ def test_pii_mixed_and_long(text, kind, part):
     assert not base and [(s.kind, text[s.start : s.end]) for s in added] == [(kind, part or text)]
 
 
+@pytest.mark.parametrize("unit", [" ", " (", "( ", "1", "1.", "a@", "a at ", "a . ", "+1(", "one ", "one 1 ", "dot ", "[at] ", " @ ", "(at)(dot)", "[ at", "а", "a dot "])
+def test_pii_time(unit):
+    """A megabyte of anything takes time in proportion to it."""
+    import time
+
+    text, times = unit * (1_000_000 // len(unit)), []
+    for part in (text[: len(text) // 4], text):
+        began = time.process_time()
+        pii.find_spans(part + "[")
+        times.append(time.process_time() - began)
+    assert times[1] < 1 or times[1] < 8 * times[0]
+
+
+def test_pii_kinds_apart():
+    """Spans of one kind don't overlap; those of another don't hide them."""
+    text = "+1 555 010 2345@mail (dot) example (dot) com"
+    base, added = pii.find_spans(text)
+    assert [(s.kind, text[s.start : s.end]) for s in base] == [("phone", "+1 555 010 2345")]
+    assert [(s.kind, text[s.start : s.end]) for s in added] == [("email", "2345@mail (dot) example (dot) com")]
+
+
 def test_packing(spark, texts):
     import bisect
 
