@@ -118,27 +118,29 @@ class Mapped:
         """edits: start, end and new characters, in order and apart. Each new character stands for the whole edited place."""
         if not edits:
             return self
-        texts, starts, ends, changed, at = [], [], [], [], 0
-
-        def keep(a: int, b: int) -> None:
-            texts.append(self.text[a:b])
-            starts.append(self.starts[a:b])
-            ends.append(self.ends[a:b])
-            changed.append(self.changed[a:b])
-
-        for a, b, new in edits:
-            keep(at, a)
-            if new:
-                texts.append(new)
-                starts.append(np.full(len(new), self.starts[a]))
-                ends.append(np.full(len(new), self.ends[b - 1]))
-                changed.append(np.ones(len(new), bool))
-            elif a and len(texts[-1]):  # nothing takes its place: the character before notes the change
-                changed[-1] = changed[-1].copy()
-                changed[-1][-1] = True
-            at = b
-        keep(at, len(self.text))
-        return Mapped("".join(texts), np.concatenate(starts), np.concatenate(ends), np.concatenate(changed))
+        lows, highs = (np.array([e[i] for e in edits], np.int64) for i in (0, 1))
+        news = np.array([len(e[2]) for e in edits], np.int64)
+        kept_from = np.concatenate(([0], highs))
+        kept = np.concatenate((lows, [len(self.text)])) - kept_from
+        # Stretches that stay and edited places take turns.
+        sizes, firsts, lasts, is_new = (np.empty(2 * len(edits) + 1, np.int64) for _ in range(4))
+        sizes[::2], sizes[1::2] = kept, news
+        firsts[::2], firsts[1::2] = kept_from, lows
+        lasts[::2], lasts[1::2] = 0, highs - 1
+        is_new[::2], is_new[1::2] = 0, 1
+        new = np.repeat(is_new, sizes).astype(bool)
+        ends_at = np.cumsum(sizes)
+        place = np.arange(ends_at[-1]) - np.repeat(ends_at - sizes, sizes)
+        first = np.repeat(firsts, sizes) + np.where(new, 0, place)
+        changed = self.changed[np.minimum(first, len(self.text) - 1)] & ~new | new
+        gone = (news == 0) & (kept[:-1] > 0)  # nothing takes its place: the character before notes the change
+        changed[ends_at[:-1:2][gone] - 1] = True
+        texts, at = [], 0
+        for low, high, put in edits:
+            texts += (self.text[at:low], put)
+            at = high
+        texts.append(self.text[at:])
+        return Mapped("".join(texts), self.starts[first], self.ends[np.where(new, np.repeat(lasts, sizes), first)], changed)
 
     def source(self, span: Span) -> tuple[Span, bool]:
         """The span's place in the source, and whether anything in it was rewritten."""
@@ -165,8 +167,15 @@ def homoglyphs(m: Mapped) -> Mapped:
     for c in set(m.text):
         if c not in _known and c > "\x7f":
             _known[c] = _plain_of(c)
-    odd = {c for c in set(m.text) if c > "\x7f" and _known[c] is not None}
-    return m.rewritten([(i, i + 1, _known[c]) for i, c in enumerate(m.text) if c in odd]) if odd else m
+    odd = {c: _known[c] for c in set(m.text) if c > "\x7f" and _known[c] is not None}
+    if not odd:
+        return m
+    # Most take one character's place.
+    ones = {ord(c): new for c, new in odd.items() if len(new) == 1}
+    points = np.frombuffer(m.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    m = Mapped(m.text.translate(ones), m.starts, m.ends, m.changed | np.isin(points, list(ones)))
+    rest = {c for c in odd if ord(c) not in ones}
+    return m.rewritten([(i, i + 1, odd[c]) for i, c in enumerate(m.text) if c in rest]) if rest else m
 
 
 def spelled_digits(m: Mapped, apart: bool = False) -> Mapped:
