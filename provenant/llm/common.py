@@ -26,26 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named in spark.checkpoint.dir.
 
-    Where the setting is absent (a local test), a temporary folder of this machine is set for the session.
+    Where the setting is absent, a temporary folder of this machine is set for a local session; on a cluster that fails,
+    as executors wouldn't see one another's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="provenant-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the Python process ends."""
+    """A new path in the shared folder; remove_scratch, or the end of the Python process, removes it."""
     path = f"{shared_dir(spark)}/provenant-{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_remove_all)
+        atexit.register(remove_scratch)
     _written.append((spark, path))
     return path
 
 
-def _remove_all() -> None:
-    for spark, path in _written:
+def remove_scratch() -> None:
+    """Removes all scratch tables so far. A session that runs many jobs calls it when their results have been stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -65,7 +70,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS, for good, as results are lazy.
+
+    Bytes of a batch are bounded by spark.sql.execution.arrow.maxBytesPerBatch, whose default of 64 MB stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:

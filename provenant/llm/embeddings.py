@@ -5,6 +5,11 @@ of the vector and its code. For any other unit vector, its inner product with th
 their cosine without bias, and the factor bounds the error. Within a label, blocks of vectors meet block by block; only
 pairs whose upper confidence bound reaches the threshold are computed again in double precision, and those alone decide.
 
+A label of many blocks is indexed: more random directions give each vector a key of a few signs in each of several
+tables, as many that two vectors of the threshold's cosine share no key with a chance of MISSED. Vectors meet where they
+share a key, in blocks as well if a key has many, and a pair counts in the first table in which it does. So copies of a
+vector grow with a small power of its label's size, not in proportion.
+
 Equal vectors of a label are one class. A pair of blocks returns at most a row for each of its vectors: how many vectors
 it is linked with there, and the smallest class that links connect it with there. Pairs are never rows.
 """
@@ -28,6 +33,14 @@ THRESHOLD = 0.93
 BLOCK = 1024
 #: Error bound in units of the estimate's deviation: exceeded with a chance below 10**-8.
 CONFIDENCE = 6.0
+#: Labels of at most so many blocks are compared as a whole; larger ones are indexed.
+WHOLE = 32
+#: Chance that a pair of the threshold's cosine shares no key.
+MISSED = 1e-6
+#: Most labels whose shapes are broadcast; those of more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Most signs in a key.
+MOST_BITS = 40
 SEED = 20240531
 
 
@@ -44,6 +57,31 @@ def encode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / math.sqrt(units.shape[1])
 
 
+def tables_of(bits: int, threshold: float) -> int:
+    """Tables of keys of so many signs that a pair of the threshold's cosine is missed with a chance of MISSED."""
+    same = (1 - math.acos(min(threshold, 1.0)) / math.pi) ** bits
+    return 1 if bits == 0 or same >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-same))
+
+
+def bits_of(n: int) -> int:
+    """Signs in the keys of a label of n classes: none if it is compared as a whole, else so many that a key has about BLOCK of them."""
+    return 0 if n <= WHOLE * BLOCK else min(MOST_BITS, math.ceil(math.log2(n / BLOCK)))
+
+
+@functools.lru_cache(maxsize=8)
+def directions(n: int, count: int) -> np.ndarray:
+    """Random directions, the same everywhere."""
+    return np.random.default_rng(SEED + 7919 * n + count).normal(size=(n, count))
+
+
+def keys_of(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A key for each vector and table."""
+    if not bits:
+        return np.zeros((len(units), 1), np.int64)
+    signs = (units @ directions(units.shape[1], bits * tables) > 0).reshape(len(units), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def upper_bounds(queries: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Upper confidence bounds of the cosine of each unit vector of queries and each coded one."""
     n = queries.shape[1]
@@ -82,7 +120,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     vector that is null, empty, zero, holds a null or a number that isn't finite, or has a null label, is linked with
     nothing and is its own component. n_links counts other rows. Ids are taken for unique: rows that repeat an id count as
     vectors of their own, and go together. A null id is never smallest; if all of a component's are null, so is its
-    component_id. An empty table gives an empty result; other columns are ignored.
+    component_id. An empty table gives an empty result; other columns are ignored. Labels of up to WHOLE * BLOCK classes are
+    compared exactly; of larger ones, a pair of the threshold's cosine is missed with a chance of MISSED, closer ones less.
     """
     bounded_batches(vectors.sparkSession)
     plain = vectors.select(column(vectors, id_col).alias("vec_id"), column(vectors, vector_col).cast("array<double>").alias("vector"), column(vectors, label_col).alias("label"))
@@ -107,14 +146,31 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = cut(map_batches(plain, coded, f"vec_id {kinds['vec_id']}, node binary, dims int, unit binary, code binary, factor double, label {kinds['label']}"), "coded")
     classes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("many"), *(F.first(c).alias(c) for c in ("label", "dims", "unit", "code", "factor")))
     classes = cut(classes, "classes")
-    sizes = classes.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = classes.join(sizes, ["label", "dims"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A row goes to each pair of blocks that its own is in.
+    # A row for each label, with its keys' signs and tables.
+    sizes = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
+
+    def shaped(x):
+        bits = list(map(bits_of, x["n"]))
+        return {"label": x["label"], "dims": x["dims"], "bits": bits, "tables": [tables_of(b, threshold) for b in bits]}
+
+    shapes = cut(map_batches(sizes.select("label", "dims", "n"), shaped, f"label {kinds['label']}, dims int, bits int, tables int"), "shapes")
+
+    def keyed(x):
+        keys = [keys_of(np.frombuffer(u, np.float64)[None], b, t)[0].tolist() for u, b, t in zip(x["unit"], x["bits"], x["tables"], strict=True)]
+        return {c: x[c] for c in ("label", "dims", "bits", "tables", "node")} | {"keys": keys}
+
+    few = shapes.count() <= MOST_BROADCAST
+    placed = classes.join(F.broadcast(shapes) if few else shapes, ["label", "dims"])
+    keys = cut(map_batches(placed.select("label", "dims", "bits", "tables", "node", "unit"), keyed, f"label {kinds['label']}, dims int, bits int, tables int, node binary, keys array<long>").select("label", "dims", "bits", "tables", "node", F.posexplode("keys").alias("table", "key")), "keys")
+    place = ["label", "dims", "table", "key"]
+    blocks = keys.groupBy(*place).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m")
+    placed = keys.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A row goes to each pair of blocks of its key that its own is in.
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    copies = copies.select("label", "dims", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "many", "unit", "code", "factor")
+    copies = copies.select(*place, "bits", "tables", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node").join(classes.select("node", "many", "unit", "code", "factor"), "node")
 
     def meet(group: pa.Table) -> pa.Table:
-        d, lo, hi = (group.column(c)[0].as_py() for c in ("dims", "lo", "hi"))
+        d, lo, hi, table, bits, tables = (group.column(c)[0].as_py() for c in ("dims", "lo", "hi", "table", "bits", "tables"))
         node = group.column("node").to_pylist()
         many = group.column("many").to_numpy()
         units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(-1, d)
@@ -130,6 +186,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             pairs = np.unique(np.minimum(i, j) * len(node) + np.maximum(i, j))
             i, j = np.divmod(pairs, len(node))
             i, j = i[i != j], j[i != j]
+        if table and len(i):  # pairs that share an earlier key count there
+            seen = keys_of(units, bits, tables)[:, :table]
+            new = np.concatenate([~(seen[i[k : k + 65536]] == seen[j[k : k + 65536]]).any(axis=1) for k in range(0, len(i), 65536)])
+            i, j = i[new], j[new]
         place = np.empty(len(node), np.int64)
         place[order] = np.arange(len(node))
         count = np.bincount(i, many[j], len(node)) + np.bincount(j, many[i], len(node))
@@ -137,7 +197,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         linked = np.flatnonzero(count)
         return pa.table({"node": pa.array([node[k] for k in linked], pa.binary()), "links": pa.array(count[linked].astype(np.int64)), "root": pa.array([node[root[k]] for k in linked], pa.binary())})
 
-    met = cut(copies.groupBy("label", "dims", "lo", "hi").applyInArrow(meet, "node binary, links long, root binary"), "met")
+    met = cut(copies.groupBy(*place, "lo", "hi").applyInArrow(meet, "node binary, links long, root binary"), "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = classes.select("node", "vec_id", "many").join(components(met.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = cut(roots.join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("many") - 1), "vector-roots")

@@ -7,7 +7,7 @@ Documents with equal sets are one class. In lists of any length each class is fi
 is linear in the list. Only classes that are still in different components then meet in pairs. Classes that could be
 linked through lists longer than LONG_LIST alone are indexed again by their rarest values, few enough that any two that
 could be linked must share one, so a passage that very many documents hold generates no pairs unless it makes up most of
-them; parities of the full sets are compared inside that join, so only pairs that are similar become rows. No pair that could be linked is left out but with a chance under 10**-8.
+them; parities of the full sets are compared inside that join, so only pairs that are similar become rows. No pair that could be linked is left out but with a chance of about 10**-8.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from provenant.llm.components import components
 K = 64
 #: Least values kept for classes that meet in long lists. Nearly all documents have fewer shingles, so these are their full sets.
 DEEP = 256
-#: Least values that have inverted lists. Two sets of similarity 0.8 share none of SURE given ones with a chance of 0.2**12.
-INDEXED, SURE = 16, 12
+#: Least values that have inverted lists. Of the INDEXED least values of two sets of similarity 0.8, SURE or more are
+#: unshared with a chance of about 10**-8.
+INDEXED, SURE = 20, 16
 LONG_LIST = 40
 #: Most ids that are broadcast, after a count; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
@@ -212,11 +213,13 @@ def _prefix(t: float) -> F.Column:
     """Of how many of its rarest sketch values a class must be indexed by so that no class it could be linked with is missed.
 
     A class whose partners all fit in their sketches shares at least t of its own set with each. Otherwise the union's
-    sketch has DEEP * t common values but for MARGIN standard deviations.
+    sketch has DEEP * t common values but for MARGIN standard deviations. Where a partner may be of either kind, the
+    smaller number holds.
     """
     common = max(1, math.floor(DEEP * t - MARGIN * math.sqrt(DEEP * t * (1 - t))))
-    kept = F.least(F.col("n"), F.lit(DEEP))
-    return F.when(F.col("n") <= math.floor(DEEP * t), kept - F.ceil(F.col("n") * t) + 1).otherwise(F.greatest(F.lit(1), kept - common + 1)).cast("int")
+    kept, own = F.least(F.col("n"), F.lit(DEEP)), F.ceil(F.col("n") * t)
+    shared = F.when(F.col("n") <= math.floor(DEEP * t), own).otherwise(F.least(F.lit(common), own))
+    return F.greatest(F.lit(1), kept - shared + 1).cast("int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, per_cent: int = 80) -> DataFrame:

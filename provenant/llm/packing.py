@@ -4,7 +4,8 @@ Lengths are whole numbers up to the capacity, so what best-fit decreasing does d
 length, and on nothing else about them. The driver packs those counts: a segment tree over remaining capacities finds the
 tightest open bin in logarithmic time, and bins that are in the same state are handled together. The plan has a bounded
 number of rows whatever the corpus. Pieces of one length are then numbered, in salted groups whose sizes are summed, and
-each number looks up its bin and offset in the plan.
+each number looks up its bin and offset in the plan. Pieces that fill a sequence, which nearly all of long documents do,
+need no number: each is a sequence of its own, named after its row.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from provenant.llm.common import bounded_batches, column, cut, map_batches
 
 CAPACITY = 2048
 END = 0
-#: Groups in which pieces of one length are numbered; each holds this part of them.
-SALTS = 64
+#: Pieces of one length that are numbered in one group, on average: a length has as many groups as that takes.
+NUMBERED = 50_000
 #: Words that a worker remembers the ids of; beyond it, it starts anew.
 REMEMBERED = 500_000
 
@@ -203,23 +204,30 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     each, in any order. An empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    made = cut(pieces(docs, tokenizer_path, id_col, text_col, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    each = made.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # At most capacity * SALTS rows, whatever the corpus; so are those of their sums.
-    before = cut(each.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "numbers")
-    counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    made = cut(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # At most capacity rows, whatever the corpus.
+    counts = {r["length"]: r["n"] for r in made.filter(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = F.lit([-(-counts.get(n, 0) // NUMBERED) or 1 for n in range(capacity)]).cast("array<int>")
+    loose = made.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))).cast("int"))
+    # A row for each length and NUMBERED pieces of it.
+    sums = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut(loose.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0))), "numbers")
     plan = best_fit_decreasing(counts, capacity)
-    columns = [np.array(c, np.int64) for c in zip(*plan, strict=True)] if plan else [np.zeros(0, np.int64)] * 5
+    planned = [np.array(c, np.int64) for c in zip(*plan, strict=True)] if plan else [np.zeros(0, np.int64)] * 5
     order = Window.partitionBy("length", "salt").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
-    numbered = made.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank") - 1)
-    numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    shift = int(columns[1].max()) + 1 if plan else 1
+    numbered = loose.withColumn("rank", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("number", F.col("before") + F.col("rank") - 1).select(*columns, "number")
+    shift = int(planned[1].max()) + 1 if plan else 1
+    bins = sum(counts.values())  # no more than that
 
     def rows(x):
-        length, number, first, to_a_bin, offset = columns
+        length, number, first, to_a_bin, offset = planned
         of, k = np.array(x["length"], np.int64), np.array(x.pop("number"), np.int64)
         at = np.searchsorted(length * shift + number, of * shift + np.minimum(k, shift - 1), side="right") - 1
         k = k - number[at]
         return x | {"sequence_id": (first[at] + k // to_a_bin[at]).tolist(), "offset": (offset[at] + of * (k % to_a_bin[at])).tolist()}
 
-    return map_batches(numbered, rows, f"doc_id {dict(made.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = map_batches(numbered, rows, f"doc_id {dict(made.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The stored table's rows have places that a task finds again when it is repeated.
+    full = made.filter(F.col("length") == capacity).select(*columns, (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)

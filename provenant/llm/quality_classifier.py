@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import bounded_batches, column, held_out, map_batches, utf8
+from provenant.llm.common import bounded_batches, column, cut, held_out, map_batches, utf8
 
 WIDTH, FILTERS, HALF = 8, 24, 8
 WINDOW = 2 * HALF
@@ -124,14 +124,18 @@ class Network:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float]:
-    """Texts and labels to fit, and the share of label 1 among all labels that may be learned from.
+    """Texts and labels to fit, and the share of label 1 among all labels of docs that may be learned from.
 
-    Labels whose id is held out, null or not 0 or 1 are not used; an id labelled twice has its lower label. At most most
-    documents are taken, half of either class, and of these as many as fit most_bytes bytes.
+    Labels whose id is held out, null or not 0 or 1, or whose document isn't in docs, are not used; an id labelled twice has
+    its lower label. At most most documents are taken, half of either class, in the order of a hash of their ids; one that
+    would exceed most_bytes bytes in all is passed over, so where that bound is reached the longest texts are rarer in the
+    sample than in docs.
     """
     label = column(labels, label_col)
     usable = labels.select(column(labels, id_col).alias("doc_id"), label.cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"))
+    # Of documents that are there: a corpus that was filtered before has its own shares.
+    there = docs.select(column(docs, id_col).alias("doc_id")).distinct()
+    usable = cut(usable.groupBy("doc_id").agg(F.min("label").alias("label")).join(there, "doc_id", "left_semi"), "labels")
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     picked = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])

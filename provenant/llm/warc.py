@@ -2,7 +2,8 @@
 
 An archive file is a chain of gzip members, one for each record, parted by empty members, which decompress to nothing.
 Spark's text sink writes it: its line separator is the empty member, so files appear in any store, by the committers that
-survive lost executors. They don't end in .gz, as Spark would read such files in one piece.
+survive lost executors. Archives of other writers, whose members follow one another and whose names may end in .gz, are
+read in the same way.
 
 To read, Spark's text source scans byte ranges of the files for the gzip magic, which is its line separator there; each
 task owns the records that start in its range and reads its last one beyond the range's end. What stands between two
@@ -29,6 +30,8 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY = MAGIC + b"\x00\x00\x00\x00\x00\x00\x03\x03\x00" + b"\x00" * 8
 #: Payloads of at least so many bytes are written once.
 LEAST = 100
+#: Most digests that several pages share that are broadcast, at about 60 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 LEVEL = 4
 #: A fixed date, as the tables have none, so archives of equal tables are equal.
 DATE = "1970-01-01T00:00:00Z"
@@ -91,8 +94,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     bounded_batches(pages.sparkSession)
     plain = pages.select(column(pages, id_col).alias("page_id"), column(pages, url_col).alias("url"), F.coalesce(column(pages, html_col), F.lit("")).alias("html"))
     plain = plain.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    alike = plain.filter(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1 and first is not null")
-    roles = plain.join(alike.select("digest", "first"), "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    long_ = F.octet_length("html") >= LEAST
+    alike = plain.filter(long_).groupBy(F.unhex("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1 and first is not null")
+    alike = cut(alike.select("same", "first"), "alike")
+    # Short payloads are alike without it: a key of their own, by the page's id, spreads them should the join shuffle.
+    key = F.when(long_, F.unhex("digest")).otherwise(F.concat(F.lit("short ").cast("binary"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")))
+    few = alike.count() <= MOST_BROADCAST
+    roles = plain.withColumn("same", key).join(F.broadcast(alike) if few else alike, "same", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def rows(x):
         return {"data": [record(i, u, utf8(h), d, f, r) for i, u, h, d, f, r in zip(x["page_id"], x["url"], x["html"], x["digest"], x["first"], x["revisit"], strict=True)]}
@@ -139,9 +147,13 @@ class _Joiner:
 
 
 def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """Column data: the decompressed records of all archive files in path."""
+    """Column data: the decompressed records of all archive files in path, whatever their names."""
     bounded_batches(spark)
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    # A codec for an ending that no file has, but that sorts behind .gz in Hadoop's table, hides the one that would read
+    # files of that ending in one piece.
+    codec = spark._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    raw = {"io.compression.codecs": codec.CLASSNAME, codec.OPT_EXTENSION: ".!.gz"}
+    lines = spark.read.options(**raw).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +200,11 @@ def read_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """page_id, url, payload (binary; null for a revisit), payload_bytes, payload_digest, record_type, refers_to.
+    """page_id, url, payload (binary; null for a revisit), payload_bytes, payload_digest, record_type, refers_to, record_id.
 
     Length and digest are those of the full payload; a response's are taken from its block, and a record whose header
-    says otherwise fails the read.
+    says otherwise fails the read. Records of other writers have the digest and length of their block, without an HTTP
+    header it may begin with; where a revisit's header doesn't name a SHA-256 or a length they are null, as is page_id.
     """
 
     def id_of(text) -> int | None:
@@ -199,20 +212,25 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
         return int(body) if body.lstrip("-").isdigit() else None
 
     def rows(x):
-        out = {k: [] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")}
+        out = {k: [] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")}
         for data in x["data"]:
             r = parse(data)
             if r is None:
                 raise ValueError(f"not a WARC record: {data[:60]!r}")
-            revisit = r["warc-type"] == "revisit"
-            digest, size = str(r["warc-payload-digest"]).removeprefix("sha256:"), int(str(r["x-payload-length"]))
-            if not revisit and (hashlib.sha256(r["block"]).hexdigest() != digest or len(r["block"]) != size):
-                raise ValueError(f"a payload differs from its header: {r['warc-record-id']}")
-            for k, v in zip(out, (id_of(r["warc-record-id"]), r.get("warc-target-uri"), None if revisit else r["block"], size, digest, r["warc-type"], id_of(r.get("warc-refers-to")) if revisit else None), strict=True):
+            revisit, block = r.get("warc-type") == "revisit", r["block"]
+            if str(r.get("content-type", "")).startswith("application/http"):
+                block = block.partition(b"\r\n\r\n")[2]
+            named, told = str(r.get("warc-payload-digest", "")), str(r.get("x-payload-length", ""))
+            digest = named.removeprefix("sha256:") if named.startswith("sha256:") else None if revisit else hashlib.sha256(block).hexdigest()
+            size = int(told) if told.isdigit() else None if revisit else len(block)
+            if not revisit and (hashlib.sha256(block).hexdigest() != digest or len(block) != size):
+                raise ValueError(f"a payload differs from its header: {r.get('warc-record-id')}")
+            values = (id_of(r.get("warc-record-id")), r.get("warc-target-uri"), None if revisit else block, size, digest, r.get("warc-type"), id_of(r.get("warc-refers-to")) if revisit else None, r.get("warc-record-id"))
+            for k, v in zip(out, values, strict=True):
                 out[k].append(v)
         return out
 
-    return map_batches(read_members(spark, path), rows, f"page_id {id_type}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}")
+    return map_batches(read_members(spark, path), rows, f"page_id {id_type}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, record_id string")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

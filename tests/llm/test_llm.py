@@ -333,6 +333,34 @@ def test_warc(spark):
     assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == sorted([("5", len(body.encode()), "revisit", "3")] + [("3", len(body.encode()), "response", "None")] * 2 + [("7", 0, "response", "None"), ("8", 0, "response", "None"), ("9", 5, "response", "None"), ("10", 5, "response", "None"), ("None", 200, "response", "None")])
 
 
+def test_warc_foreign(spark, tmp_path):
+    """Members one after another in a file that ends in .gz, of other writers' records, read in byte ranges."""
+    import gzip
+
+    rng, files = random.Random(9), []
+    for k in range(120):
+        body = f"page {k} ".encode() + rng.randbytes(rng.randint(0, 900))
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{k}-x>\r\nWARC-Target-URI: http://a/{k}\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n".encode()
+        files.append((body, gzip.compress(head + http + b"\r\n\r\n")))
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(m for _, m in files))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert warc.read_members(spark, str(tmp_path)).count() == 120
+        got = warc.read_archive(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(bytes(r.payload) for r in got) == sorted(b for b, _ in files)
+    assert all(r.record_type == "response" and r.payload_bytes == len(r.payload) and r.page_id is None and r.record_id.endswith("-x>") for r in got)
+
+
+def test_warc_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    rows = [(i, "u", t) for i, t in enumerate(["x" * 100, None, "", "x" * 100, "short", "short", "y" * 200])]
+    got = {r.page_id: r.refers_to for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 0, 4: None, 5: None, 6: None}
+
+
 def test_warc_false_magic():
     data = warc.record(1, "u", random.Random(1).randbytes(4000), "d", None, False)
     j = warc._Joiner()
@@ -363,6 +391,41 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(100, 107))
 
 
+def test_embeddings_indexed(spark, monkeypatch):
+    """Large labels go by keys: no link of brute force is missed here, none counts twice, hot keys are split."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(250, 24))
+    v = np.concatenate([base, base + rng.normal(size=base.shape) * 0.28, base[:5], base[:1] + rng.normal(size=(120, 24)) * 0.05])
+    rows = [(i, [float(x) for x in u], 0) for i, u in enumerate(v)]
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "WHOLE", 2)
+    assert embeddings.bits_of(len(rows)) >= 5 and embeddings.tables_of(5, 0.93) > 10
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    c = x @ x.T >= 0.93
+    np.fill_diagonal(c, False)
+    assert c.sum() > 10_000 and [got[i].n_links for i in range(len(v))] == c.sum(1).tolist()
+    root = np.arange(len(v))
+    for _ in range(20):
+        root = np.array([min([root[i], *root[c[i]]]) for i in range(len(v))])
+    assert [got[i].component_id for i in range(len(v))] == root.tolist()
+
+
+@pytest.mark.parametrize("bits", [5, 12])
+def test_embeddings_keys_recall(bits):
+    """Of pairs just at the threshold, all but a few in a million share a key."""
+    rng = np.random.default_rng(bits)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * side
+    tables = embeddings.tables_of(bits, 0.93)
+    same = embeddings.keys_of(a, bits, tables) == embeddings.keys_of(b, bits, tables)
+    assert same.any(axis=1).all() and not same.all(axis=1).any()
+
+
 @pytest.mark.parametrize("name", ["near", "rules", "pii", "packing", "pieces", "html", "warc", "vectors"])
 def test_empty_tables(spark, name):
     docs = _docs(spark, [])
