@@ -12,6 +12,10 @@ traced back by itself between its two states. A text of one chunk has no inner b
 No piece joins another character to a following space mark, so between such places a chunk's path doesn't depend on its
 states: the matrix has a single column of states there, and the library encodes all between the first and the last at once.
 The text's own start and end are such places too.
+
+Decoding is split as well. Ids are cut where no character's bytes go on; the state at a boundary is whether the library
+would still take a space mark for the text's own first one. Chunks yield matrices of these two states, and each is then
+decoded by itself in the state it begins in.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import functools
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +56,13 @@ class Model:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece joins a character to a following space mark")
         self._fits: dict[tuple[str, str], bool] = {}
+        #: What each id stands for as a byte, -1 of other ids; an id of plain letters, and one with a space mark before them.
+        self.byte = np.full(n, -1, np.int16)
+        for value, i in enumerate(self.bytes):
+            if self.sp.is_byte(i):
+                self.byte[i] = value
+        self.letters = next((i for p, i in self.ids.items() if p.isalpha() and SPACE not in p), None)
+        self.spaced = next((i for p, i in self.ids.items() if p[0] == SPACE and p[1:].isalpha()), None)
 
     def merged(self, text: str) -> list[str]:
         """Best merge first, leftmost of equal ones, until none is left."""
@@ -235,14 +246,19 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, :, None] + y[None, :, :]).max(axis=1)
 
 
+def prefixes(items: list[np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """All prefixes joined, by a tree: pairs first, their prefixes, and from these the ones between."""
+    if len(items) < 2:
+        return list(items)
+    pairs = prefixes([join(a, b) for a, b in zip(items[::2], items[1::2], strict=False)], join)
+    return [items[0]] + [pairs[k // 2] if k % 2 else join(pairs[k // 2 - 1], items[k]) for k in range(1, len(items))]
+
+
 def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     """The state at each inner boundary on the best path: products from the left and from the right meet there."""
-    left, right = [matrices[0]], [matrices[-1]]
-    for x in matrices[1:-1]:
-        left.append(product(left[-1], x))
-    for x in matrices[-2:0:-1]:
-        right.append(product(x, right[-1]))
-    return [int((a[0] + b[:, 0]).argmax()) for a, b in zip(left, right[::-1], strict=True)]
+    left = prefixes(matrices[:-1], product)
+    right = prefixes(matrices[:0:-1], lambda x, y: product(y, x))[::-1]
+    return [int((a[0] + b[:, 0]).argmax()) for a, b in zip(left, right, strict=True)]
 
 
 def _chunk(m: Model, text: str, a: int, b: int) -> Chunk:
@@ -330,18 +346,97 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return done.unionByName(joined.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))
 
 
-def _decoded(m: Model, ids: np.ndarray) -> str:
-    return m.sp.decode(ids.tolist()) if len(ids) else ""
+#: States between chunks of ids: nothing has been written yet, or something has.
+NOTHING, SOMETHING = 0, 1
 
 
-def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text: what the ids stand for. Null or no ids give an empty text."""
+def id_places(m: Model, ids: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Chunks of about size ids that part no character's bytes: one begins with no continuation byte, or after three of them."""
+    byte = m.byte[ids]
+    goes_on = (byte >= 0x80) & (byte < 0xC0)
+    cuts = [0]
+    while cuts[-1] + size < len(ids):
+        at = cuts[-1] + size
+        while at < len(ids) and goes_on[at] and not goes_on[max(0, at - 3) : at].all():
+            at += 1
+        cuts.append(at)
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True) if a < b]
 
-    def rows(x):
-        return {"doc_id": x["doc_id"], "text": [_decoded(model(model_path), i) for i in _each(x["ids"])]}
 
-    plain = encoded.select(column(encoded, id_col).alias("doc_id"), column(encoded, ids_col).alias("ids"))
-    return map_batches(plain, rows, f"doc_id {dict(plain.dtypes)['doc_id']}, text string", ("ids",))
+def id_matrix(m: Model, ids: np.ndarray) -> np.ndarray:
+    """Weights from each state before a chunk of ids to each after it."""
+    got = np.full((2, 2), NO)
+    alone = m.sp.decode(ids.tolist())
+    begun = m.spaced is None or m.sp.decode([*ids.tolist(), m.spaced]) != alone + m.sp.decode([m.spaced])
+    got[NOTHING, SOMETHING if begun else NOTHING] = got[SOMETHING, SOMETHING] = 0.0
+    return got
+
+
+def decode_chunk(m: Model, ids: np.ndarray, state: int) -> str:
+    """What a chunk of ids stands for after nothing or something."""
+    if state == NOTHING or m.letters is None:
+        return m.sp.decode(ids.tolist())
+    return m.sp.decode([m.letters, *ids.tolist()])[len(m.sp.decode([m.letters])) :]
+
+
+def states_before(matrices: list[np.ndarray]) -> list[int]:
+    """The state that each chunk begins in, the first after nothing."""
+    return [NOTHING, *(int(x[NOTHING].argmax()) for x in prefixes(matrices[:-1], product))]
+
+
+def decode_ids(m: Model, ids: np.ndarray, size: int = CHUNK) -> str:
+    """All chunks in one place; the operator spreads those of long rows over tasks."""
+    chunks = [ids[a:b] for a, b in id_places(m, ids, size)]
+    states = states_before([id_matrix(m, c) for c in chunks]) if len(chunks) > 1 else [NOTHING] * len(chunks)
+    return "".join(decode_chunk(m, c, s) for c, s in zip(chunks, states, strict=True))
+
+
+def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", size: int = CHUNK) -> DataFrame:
+    """doc_id and text of each row: what its ids stand for. Null or no ids give an empty text.
+
+    Rows of size ids or more are split into chunks that tasks share. Repeated rows give repeated results; an empty table
+    gives an empty one; other columns are ignored.
+    """
+    bounded_batches(encoded.sparkSession)
+    plain = encoded.select(column(encoded, id_col).alias("doc_id"), F.coalesce(column(encoded, ids_col), F.array().cast("array<int>")).alias("ids"))
+    kind = dict(plain.dtypes)["doc_id"]
+
+    def whole(x):
+        return {"doc_id": x["doc_id"], "text": [decode_ids(model(model_path), i, size) for i in _each(x["ids"])]}
+
+    done = map_batches(plain.filter(F.size("ids") < size), whole, f"doc_id {kind}, text string", ("ids",))
+    # As in encode, a row's place is its id, its ids' hash and its number among equals.
+    long_ = plain.filter(F.size("ids") >= size).withColumn("key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.array_join("ids", " ")), 256))
+    firsts = cut(long_.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "long-ids")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(model_path)
+        for batch in batches:
+            for id_, ids, key in zip(batch.column(0).to_pylist(), _each(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for k, (a, b) in enumerate(id_places(m, ids, size)):
+                    yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "ids": _listed([ids[a:b].tolist()]), "doc_id": pa.array([id_], batch.schema.field(0).type)})
+
+    chunks = cut(long_.select("doc_id", "ids", "key").mapInArrow(split, f"key string, chunk int, ids array<int>, doc_id {kind}").dropDuplicates(["key", "chunk"]), "id-chunks")
+
+    def matrices(x):
+        return {"key": x["key"], "chunk": x["chunk"], "best": [(id_matrix(model(model_path), i).ravel() == 0).tolist() for i in _each(x["ids"])]}
+
+    def scan(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        states = states_before([np.where(np.array(r["best"]).reshape(2, 2), 0.0, NO) for r in rows])
+        return pa.table({"key": [r["key"] for r in rows], "chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "state": pa.array(states, pa.int32())})
+
+    found = map_batches(chunks.select("key", "chunk", "ids"), matrices, "key string, chunk int, best array<boolean>", ("ids",))
+    states = found.groupBy("key").applyInArrow(scan, "key string, chunk int, state int")
+
+    def back(x):
+        texts = [decode_chunk(model(model_path), i, s) for i, s in zip(_each(x["ids"]), x["state"], strict=True)]
+        return {"doc_id": x["doc_id"], "key": x["key"], "chunk": x["chunk"], "text": texts}
+
+    traced = map_batches(chunks.join(states, ["key", "chunk"]), back, f"doc_id {kind}, key string, chunk int, text string", ("ids",))
+    joined = traced.groupBy("key").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+    joined = joined.join(firsts, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return done.unionByName(joined.select("doc_id", F.array_join("parts.text", "").alias("text")))
 
 
 def digests(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -351,7 +446,7 @@ def digests(encoded: DataFrame, model_path: str) -> DataFrame:
         each = _each(x["ids"])
         return {
             "doc_id": x["doc_id"], "n_tokens": list(map(len, each)), "ids_crc32": [zlib.crc32(i.astype("<u4").tobytes()) for i in each],
-            "decoded_sha256": [hashlib.sha256(_decoded(model(model_path), i).encode("utf-8", "replace")).hexdigest() for i in each],
+            "decoded_sha256": [hashlib.sha256(decode_ids(model(model_path), i).encode("utf-8", "replace")).hexdigest() for i in each],
         }
 
     return map_batches(encoded, rows, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_crc32 long, decoded_sha256 string", ("ids",))

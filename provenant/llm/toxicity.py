@@ -1,7 +1,9 @@
 """Toxicity by a classifier chain of linear models over words.
 
-Categories are predicted one after another: insults by known words, coded abuse without them, toxicity as a whole. Each
-model sees which of its features, hashed words and word starts, a text has, and the probabilities of the categories
+The labels mark toxicity alone, so the sample tells its categories apart: the features that mark its toxic texts most
+surely are parted in two by the sign of their weight in the main component of how they occur together there, and a toxic
+text is of the kinds whose features it has. These two kinds and then toxicity as a whole are predicted one after another.
+Each model sees which of its features, hashed words and word starts, a text has, and the probabilities of the categories
 before it. It is fitted to out-of-fold predictions of those, so it learns how far they can be trusted on texts they
 haven't seen. Its features are those that are far more frequent in the category than outside.
 
@@ -21,14 +23,14 @@ from provenant.llm.common import bounded_batches, column, map_batches, utf8
 from provenant.llm.quality_classifier import labelled_sample
 
 #: Categories in the order of the chain; the last is what the labels mark.
-CATEGORIES = ("insult", "coded", "toxic")
-#: Words that make a toxic text an insult for training; scores depend on what is learned, not on this list.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+CATEGORIES = ("kind_a", "kind_b", "toxic")
 #: Bounds of the labelled sample that is fitted: documents, and bytes of text.
 SAMPLE, SAMPLE_BYTES = 4000, 16_000_000
 HASHED = 1 << 20
 #: Least chi-squared and log odds ratio of a model's features, and most of them.
 CHI2, LOG_ODDS, MOST_FEATURES = 9.0, 1.2, 400
+#: Most features that tell the kinds apart.
+TELLING = 60
 FOLDS, STEPS, RIDGE = 3, 14, 3e-6
 #: Lengths of word starts that are features beside the word itself.
 STARTS = (4, 5)
@@ -54,6 +56,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _marking(a: np.ndarray, c: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chi-squared and log odds ratio of features that a of n1 and c of n0 texts have."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num((a * (n0 - c) - c * (n1 - a)) ** 2 * (n1 + n0) / ((a + c) * (n1 + n0 - a - c) * n1 * n0))
+    return chi, np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((c + 0.5) / (n0 - c + 0.5))
+
+
 class Present:
     """Which features each text has: pairs of a text's place and a feature."""
 
@@ -79,6 +88,24 @@ class Present:
         return x
 
 
+def kinds_of(texts: Present, toxic: np.ndarray) -> np.ndarray:
+    """A row for each text: whether it is toxic and of kind a, and of kind b. Kind a is that of the surest feature."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    if not n1 or not n0:
+        return np.zeros((texts.n, 2), bool)
+    c, a = (np.bincount(texts.feature[toxic[texts.row] == k], minlength=HASHED).astype(float) for k in (0, 1))
+    chi, odds = _marking(a, c, n1, n0)
+    good = np.flatnonzero((chi >= CHI2) & (odds >= LOG_ODDS) & (a >= 2))
+    telling = np.sort(good[np.lexsort((good, -chi[good]))][:TELLING])
+    if not len(telling):
+        return np.zeros((texts.n, 2), bool)
+    x = texts.matrix(telling)
+    own = x[toxic] - x[toxic].mean(0)
+    main = np.linalg.eigh(own.T @ own)[1][:, -1]
+    first = main * np.sign(main[np.argmax(chi[telling])] or 1.0) > 0
+    return np.column_stack((x[:, first].any(1), x[:, ~first].any(1))) & toxic[:, None]
+
+
 class Linear:
     """Logistic regression on the presence of its features, and on earlier probabilities."""
 
@@ -99,9 +126,7 @@ class Linear:
             self.b = 4.0 if n1 else -4.0
             return self
         c, a = (np.bincount(texts.feature[y[texts.row] == k], minlength=HASHED).astype(float) for k in (0, 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            chi = np.nan_to_num((a * (n0 - c) - c * (n1 - a)) ** 2 * (n1 + n0) / ((a + c) * (n1 + n0 - a - c) * n1 * n0))
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((c + 0.5) / (n0 - c + 0.5))
+        chi, odds = _marking(a, c, n1, n0)
         good = np.flatnonzero((chi >= CHI2) & (odds >= LOG_ODDS) & (a >= 2))
         self.features = np.sort(good[np.lexsort((good, -chi[good]))][:MOST_FEATURES])
         x = self.matrix(texts, dense)
@@ -125,11 +150,10 @@ class Chain:
 
     def fit(self, texts: list[str], toxic: list[int]) -> Chain:
         """Both labels count alike, however many texts have each."""
-        words = [words_of(t) for t in texts]
-        seen = Present([{f for w in ws for f in features_of(w)} for ws in words])
+        seen = Present([{f for w in words_of(t) for f in features_of(w)} for t in texts])
         y = np.array(toxic, int)
-        insult = np.array([any(w.decode("utf-8", "replace") in INSULTS for w in ws) for ws in words], bool)
-        wanted = {"insult": (y == 1) & insult, "coded": (y == 1) & ~insult, "toxic": y == 1}
+        kinds = kinds_of(seen, y == 1)
+        wanted = {"kind_a": kinds[:, 0], "kind_b": kinds[:, 1], "toxic": y == 1}
         fold = np.arange(len(y)) % FOLDS
         dense = np.zeros((len(y), 0))
         for name in CATEGORIES:
@@ -175,7 +199,7 @@ class _Seen:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """A row for each row of docs: doc_id, p_insult, p_coded, p_toxic (double), toxic (int, 1 if p_toxic >= 0.5).
+    """A row for each row of docs: doc_id, p_kind_a, p_kind_b, p_toxic (double), toxic (int, 1 if p_toxic >= 0.5).
 
     A null text is an empty one, scored by the biases alone. Labels of held-out ids aren't learned from. Without labels of
     both values, all texts have one score, on that value's side. Repeated rows give repeated results; an empty table gives an empty one;

@@ -64,6 +64,30 @@ def test_near_duplicates(spark, texts):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_long_lists(spark, monkeypatch):
+    """Shared passages make lists too long to pair: hubs and rarest values find the same links as brute force."""
+    monkeypatch.setattr(minhash, "LONG_LIST", 3)
+    rng = random.Random(17)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    common, rows = [words(60) for _ in range(4)], []
+    for i in range(60):
+        base = common[i % 4] + words(rng.choice((10, 14, 16, 40)))
+        rows.append((10 * i, " ".join(base)))
+        for k in range(rng.randint(0, 3)):
+            near = list(base)
+            near[-1 - k] = "changed"
+            rows.append((10 * i + 1 + k, " ".join(near)))
+    rows += [(5000, " ".join(a := [f"z{i}" for i in range(167)])), (5001, " ".join(a + [f"y{i}" for i in range(41)]))]  # 164 of 205 shingles
+    sets = {i: _set(t, 4) for i, t in rows}
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(_docs(spark, rows), width=4).collect()}
+    assert links and got == root
+
+
 def test_word_hashes_by_segment(monkeypatch):
     text = " ".join(f"Word{i}" for i in range(400)).encode()
     whole = minhash.word_hashes(text)
@@ -250,10 +274,31 @@ def test_pieces(spark, texts):
         assert all(pieces.encode_text(m, t, size) == m.sp.encode(t) for t in odd)
     got = pieces.encode(_docs(spark, texts), MODEL, size=64).collect()
     assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), m.sp.encode(t or "")) for i, t in texts)
-    text = spark.createDataFrame([(5, m.sp.encode("hello  you"))], "doc_id long, ids array<int>")
-    assert pieces.decode(text, MODEL).first().text == "hello  you"
+    text = spark.createDataFrame([(5, m.sp.encode("hello  you")), (6, None), (7, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(text, MODEL).collect()} == {5: "hello  you", 6: "", 7: ""}
+
+
+def test_decoding_by_chunks(spark):
+    """Chunks give what the library gives of the whole: bytes across their ends, control ids, space marks after nothing."""
+    m, rng = pieces.model(MODEL), random.Random(7)
+    rows = [[rng.choice([0, 1, 2, m.letters, m.spaced, m.ids[pieces.SPACE], *m.bytes[120:250:3], rng.randrange(32000)]) for _ in range(rng.randint(0, 40))] for _ in range(400)]
+    rows += [m.sp.encode("".join(rng.choice(["日本", "😀", " ", "the ", "é", "\n", "x"]) for _ in range(30))) for _ in range(100)] + [[1, 1, m.spaced, m.spaced]] * 2
+    for size in (1, 2, 3, 7):
+        assert all(pieces.decode_ids(m, np.array(r, np.int32), size) == m.sp.decode(r) for r in rows)
+    table = spark.createDataFrame([(i % 50, r) for i, r in enumerate(rows)], "doc_id long, ids array<int>")
+    got = pieces.decode(table, MODEL, size=8).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i % 50, m.sp.decode(r)) for i, r in enumerate(rows))
 
 
+def test_scan_by_a_tree():
+    rng = np.random.default_rng(1)
+    for n in range(1, 12):
+        ms = [rng.integers(0, 9, (3, 3)).astype(float) for _ in range(n)]
+        want = [ms[0]]
+        for x in ms[1:]:
+            want.append(pieces.product(want[-1], x))
+        assert all((a == b).all() for a, b in zip(pieces.prefixes(ms, pieces.product), want, strict=True))
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p><b>One<br>two <i>x</i>y<p>Three</p><div class=comments><p>no</p></div></article><footer>&copy; f</footer>"
     assert html_wrappers.extract(page) == "Head & line\nOne two xy\nThree"
@@ -426,11 +471,13 @@ def test_embeddings_keys_recall(bits):
     assert same.any(axis=1).all() and not same.all(axis=1).any()
 
 
-@pytest.mark.parametrize("name", ["near", "rules", "pii", "packing", "pieces", "html", "warc", "vectors"])
+@pytest.mark.parametrize("name", ["near", "rules", "pii", "packing", "pieces", "decoded", "html", "warc", "vectors", "toxicity", "classifier"])
 def test_empty_tables(spark, name):
     docs = _docs(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    run = {"near": lambda: minhash.near_duplicates(docs), "rules": lambda: quality_rules.quality_rules(docs), "pii": lambda: pii.pii_spans(docs), "packing": lambda: packing.best_fit_packing(docs, VOCAB), "pieces": lambda: pieces.encode(docs, MODEL), "html": lambda: html_wrappers.main_text(pages), "warc": lambda: warc.round_trip(pages), "vectors": lambda: embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))}
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    learned = {"toxicity": lambda: toxicity.toxicity(docs, labels), "classifier": lambda: quality_classifier.quality_classifier(docs, labels), "decoded": lambda: pieces.decode(pieces.encode(docs, MODEL), MODEL)}
+    run = learned | {"near": lambda: minhash.near_duplicates(docs), "rules": lambda: quality_rules.quality_rules(docs), "pii": lambda: pii.pii_spans(docs), "packing": lambda: packing.best_fit_packing(docs, VOCAB), "pieces": lambda: pieces.encode(docs, MODEL), "html": lambda: html_wrappers.main_text(pages), "warc": lambda: warc.round_trip(pages), "vectors": lambda: embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))}
     assert run[name]().count() == 0
 
 
@@ -441,3 +488,100 @@ def test_pipeline_keeps_columns(spark, texts):
     assert corpus_pipeline.rules(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.near_dedup(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.pii(spark, docs, "").columns == docs.columns
+
+
+def test_pipeline_by_rows(spark):
+    """Of rows that share an id, or have none, each is judged by its own text; copies leave one row."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(80, 200)))
+    same = text()
+    rows = [(i, text()) for i in range(100, 200)] + [(1, text()), (1, "too short"), (None, same), (None, same), (5, same), (None, "x"), (None, None), (6, same)]
+    docs = _docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.rules(spark, docs, "")
+    assert sorted(((str(r.doc_id), r.text) for r in kept.collect() if (r.doc_id or 0) < 100)) == sorted([("1", rows[100][1]), ("5", same), ("6", same), ("None", same), ("None", same)])
+    one = corpus_pipeline.near_dedup(spark, kept, "").collect()
+    assert [r.doc_id for r in one if r.text == same] == [5] and len(one) == 102
+    nulls = _docs(spark, [(None, same), (None, same)]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.near_dedup(spark, nulls, "").count() == 1
+
+
+def _plain_score(p, text):
+    """The network's score of a text, window by window."""
+    data = (text or "").encode()
+    step = quality_classifier.CHUNK - quality_classifier.HALF
+    n = max(1, -(-max(0, len(data) - quality_classifier.HALF) // step))
+    odds = weights = 0.0
+    for k in range(n):
+        chunk = np.zeros(quality_classifier.CHUNK, int)
+        part = data[k * step : k * step + quality_classifier.CHUNK]
+        chunk[: len(part)] = list(part)
+        windows = [p["embedding"][chunk[a : a + quality_classifier.WINDOW]].ravel() @ p["filters"] for a in range(0, quality_classifier.CHUNK - quality_classifier.WINDOW + 1, quality_classifier.HALF)]
+        weight = step if k < n - 1 else max(1, len(data) - (n - 1) * step)
+        odds += weight * float(np.tanh(np.max(windows, axis=0) + p["shift"]) @ p["head"] + p["bias"][0])
+        weights += weight
+    return 1 / (1 + np.exp(-odds / weights))
+
+
+def test_classifier_against_plain():
+    network = quality_classifier.Network(3)
+    rng = random.Random(3)
+    cases = [None, "", "é", "".join(rng.choice("abc é\n") for _ in range(700)), "".join(rng.choice("abc é\n") for _ in range(5000))]
+    assert np.allclose(quality_classifier._scores(network, cases), [_plain_score(network.p, t) for t in cases], atol=1e-4)
+
+
+def test_toxicity_against_plain():
+    """A chain's probabilities, category by category from the words."""
+    rng = random.Random(4)
+    rows = [" ".join(rng.choice("one two six ten red".split()) for _ in range(30)) + (" " + rng.choice(["scumbag", "moronic"]) if i % 4 == 0 else "") for i in range(200)]
+    chain = toxicity.Chain().fit(rows, [int(i % 4 == 0) for i in range(200)])
+    got = chain.probabilities(toxicity._Seen(chain).sets(rows + [None, ""]))
+    for t, p in zip(rows + [None, ""], got, strict=True):
+        found, before = {f for w in toxicity.words_of(t) for f in toxicity.features_of(w)}, []
+        for m in chain.models:
+            z = sum(w for f, w in zip(m.features, m.w, strict=False) if int(f) in found) + sum(a * b for a, b in zip(m.w[len(m.features) :], before, strict=True)) + m.b
+            before.append(1 / (1 + np.exp(-min(max(z, -40), 40))))
+        assert np.allclose(p, before)
+    assert [p[2] >= 0.5 for p in got[:200]] == [i % 4 == 0 for i in range(200)]
+
+
+def test_pipeline_against_plain(spark, tmp_path):
+    """run() over a small table, and each stage in plain Python on what the one before kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(rng.randint(60, 400))) for i in range(120)]
+    rows += [(200 + i, t + (" more" if i % 2 else "")) for i, (_, t) in enumerate(rows[:20])]  # exact and near copies
+    rows += [(300 + i, "BUY NOW!! " + " ".join(f"{word().upper()}!!" for _ in range(100))) for i in range(30)]
+    rows += [(400, "tiny"), (401, None), (402, "same five words again here " * 20), (403, text(100) + " mail a.b@c.de"), (404, text(2500)), (405, " ".join("#$%!" + str(k) for k in range(100)))]
+    labels = [(i, int(i < 300), 0) for i, _ in rows if i % 2 == 0]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    verdicts = {r.doc_id: r.distance for r in quality_rules.quality_rules(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    left = {i: t for i, t in rows if verdicts[i] is not None and verdicts[i] <= quality_rules.CUTOFF}
+    assert not {400, 401, 402, 405} & left.keys() and {*range(120)} <= left.keys()
+    learn = sorted((i, y) for i, y, _ in labels if i in left and zlib.crc32(str(i).encode()) % 3 != 1)
+    network = quality_classifier.Network().fit([left[i] for i, _ in learn], [y for _, y in learn], sum(y for _, y in learn) / len(learn))
+    left = {i: t for i, t in left.items() if _plain_score(network.p, t) >= 0.5}
+    sets, gone = {i: _set(t, 5) for i, t in left.items()}, set()
+    for a in sorted(sets):
+        gone |= {b for b in sets if b > a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} if a not in gone else set()
+    left = {i: pii.redact(t) for i, t in left.items() if i not in gone}
+    tok, want = Tokenizer.from_file(VOCAB), []
+    for i, t in left.items():
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        want += [(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert len(gone) >= 20 and sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = []
+    for n in sorted((w[3] for w in want), reverse=True):
+        room = min((b for b in bins if b >= n), default=None)
+        if room is not None:
+            bins.remove(room)
+        bins.append((2048 if room is None else room) - n)
+    assert len({r.sequence_id for r in got}) == len(bins)
