@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,14 +13,38 @@ from pyspark.sql import types as T
 
 # The grammar's literals.
 ELLIPSIS = r"\[\s*\.\.\.\s*\]|\.\s\.\s\.|\.{3}|…"
-EDGE_LABELS = {"Supports": "supports", "Rebuts": "rebuts", "Qualifies": "qualifies", "Depends-on": "depends-on", "Supersedes": "supersedes", "Correlated-with": "correlated-with", "Contradicts": "contradicts", "Addresses": "addresses"}
+EDGE_LABELS = ("Supports", "Rebuts", "Depends-on", "Refines", "Qualifies", "Restates", "Duplicate-of", "Supersedes")
 MIN_SPAN = 25
+MATH_GLYPHS = "κεǫλσςνμµδ∆θφϕψωρταβγ√∑∏∂ℏ⟨⟩∣∥×·∘≈∼≃≅≤≥≠≪≫∞⊗→∈±∓"
+BIG_O = r"[Oo]\s*\(\s*[^)]*\)"
+
+_KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
+_OTHERS = bytes(b for b in range(256) if b not in _KEPT)
+_DIGITS = str.maketrans("", "", "0123456789")
+_GLYPHS = str.maketrans("", "", MATH_GLYPHS)
 
 
 def norm_text(text: str | None) -> str | None:
     if text is None:
         return None
-    return "".join(c for c in unicodedata.normalize("NFKD", text).casefold() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    return text.casefold().encode("ascii", "ignore").translate(None, _OTHERS).decode()
+
+
+def norm_places(text: str) -> tuple[str, list[int]]:
+    """The normalised text, and for each of its characters the place in text that it comes from."""
+    made = [(c, i) for i, whole in enumerate(text) for c in (norm_text(whole) or "")]
+    return "".join(c for c, _ in made), [i for _, i in made]
+
+
+def letters_text(text: str) -> str:
+    return norm_text(text).translate(_DIGITS)
+
+
+def mathless_text(text: str) -> str:
+    """Letters of a text without big-O terms and mathematical glyphs."""
+    return letters_text(re.sub(BIG_O, " ", text).translate(_GLYPHS))
 
 
 @F.pandas_udf(T.StringType())
@@ -27,6 +53,12 @@ def norm(text: pd.Series) -> pd.Series:
     return text.map(norm_text, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def norm_digest(text: pd.Series) -> pd.Series:
+    """SHA-256, in hex, of a text's normal form, which stays in the worker."""
+    return text.map(lambda t: hashlib.sha256(norm_text(t).encode()).hexdigest(), na_action="ignore")
+
+
 def norm_latin(text: Column) -> Column:
     """The same for Latin text with the accents of western European languages, inside the JVM."""
     return F.regexp_replace(F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z0-9]", "")
@@ -36,9 +68,9 @@ def letters(normed: Column) -> Column:
     return F.regexp_replace(normed, "[0-9]", "")
 
 
-def mathless(text: Column, normed: Column) -> Column:
-    """Letters of a text without big-O terms."""
-    return letters(norm_latin(F.regexp_replace(text, r"O\([^)]*\)", "")))
+@F.pandas_udf(T.StringType())
+def mathless(text: pd.Series) -> pd.Series:
+    return text.map(mathless_text, na_action="ignore")
 
 
 def has_number(text: Column) -> Column:
@@ -47,7 +79,7 @@ def has_number(text: Column) -> Column:
 
 def quote_text(line: Column) -> Column:
     """What a line that opens with a quotation mark quotes: up to its last mark, or to its end; null of a note."""
-    body = F.trim(F.regexp_replace(line, r"^>\s?", ""))
+    body = F.regexp_replace(line, r"(?U)^\s*>\s*|\s+$", "")
     closed = F.regexp_extract(body, '(?s)^["“”](.*)["“”]', 1)
     return F.when(body.rlike('^["“”]'), F.when(body.rlike('(?s)^["“”].*["“”]'), closed).otherwise(F.substring(body, 2, 1 << 30)))
 
@@ -68,10 +100,10 @@ def address(text: Column, default_key: Column | None = None) -> Column:
 def edge(line: Column) -> Column:
     """Label, target, grounding and record of an edge line; all null of other lines."""
     label = "|".join(EDGE_LABELS)
-    pattern = rf"(?iU)^\s*\*\*({label}):\*\*\s*([\w:.-]+)"
+    pattern = rf"(?iU)^\s*\*\*({label}):\*\*\s+([\w-]+(?::[\w-]+)?)"
     kind = F.lower(F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")))
     get = lambda p, g=1: F.lower(F.nullif(F.regexp_extract(line, p, g), F.lit("")))
-    return F.struct(kind.alias("type"), get(pattern, 2).alias("target"), get(r"(?iU)\(grounded by #([\w:.-]+)\)").alias("grounding"), get(r"(?iU)\[rec:\s*([\w.-]+)\]").alias("rec"))
+    return F.struct(kind.alias("type"), get(pattern, 2).alias("target"), get(pattern + r"\s*\(grounded by\s+#([\w-]+)\)", 3).alias("grounding"), F.when(kind.isNotNull(), get(r"(?iU)\[rec:\s*([\w-]+)\]")).alias("rec"))
 
 
 def slug(text: Column) -> Column:

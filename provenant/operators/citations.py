@@ -1,4 +1,4 @@
-"""Author-year citations in prose, numeric markers, and the ledger files that citations stand for."""
+"""Author-year citations in prose, numeric markers, and the claim files that citations stand for."""
 
 from __future__ import annotations
 
@@ -77,9 +77,9 @@ def numeric_markers(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(text, F.lit("(?U)" + BRACKETED), F.lit(1)), F.regexp_extract_all(text, F.lit(RAISED), F.lit(1)))
 
 
-def _openings(ledgers: DataFrame) -> DataFrame:
-    """name, author, year: all that a ledger's name can be cited by. There are at most as many as its length squared."""
-    low = ledgers.select("name", F.lower("name").alias("low")).filter(F.col("low").endswith(".md"))
+def _openings(files: DataFrame) -> DataFrame:
+    """name, author, year: all that a claim file's name can be cited by. There are at most as many as its length squared."""
+    low = files.select("name", F.lower("name").alias("low")).filter(F.col("low").endswith(".md"))
     # An author is a start of the name that no letter follows; a year lies behind it and no digit follows that.
     ends = F.filter(F.sequence(F.lit(1), F.length("low")), lambda i: ~F.substring(F.col("low"), i + 1, F.lit(1)).rlike("[a-z]"))
     each = low.select("name", "low", F.explode(ends).alias("end"))
@@ -88,21 +88,21 @@ def _openings(ledgers: DataFrame) -> DataFrame:
 
 
 def _by_name(cites: DataFrame, openings: DataFrame) -> DataFrame:
-    """Distinct author, year with the first ledger by spelling of the author, then name."""
+    """Distinct author, year with the first claim file by spelling of the author, then name."""
     spelt = F.array_distinct(F.array(F.col("author"), F.regexp_replace("author", "['-]", "")))
     wanted = cites.select("author", "year", F.posexplode(spelt).alias("place", "spelling"))
     o = openings.select(F.col("author").alias("spelling"), "year", "name")
     return wanted.join(o, ["spelling", "year"]).groupBy("author", "year").agg(F.min_by("name", F.struct("place", "name")).alias("name"))
 
 
-def resolve(cites: DataFrame, ledgers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Distinct author, year of cites, each with the name of its ledger, or null.
+def resolve(cites: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct author, year of cites, each with the name of its claim file, or null.
 
     Names are matched by joins on equal authors and years. Only what none matches is looked up in aliases (alias, target,
     both `author_year`), and targets among names alone, so aliases form no chain. Nulls match nothing and stay. Repeated
     aliases count by their smallest target.
     """
-    openings, cites = _openings(ledgers), cites.select("author", "year").distinct()
+    openings, cites = _openings(files), cites.select("author", "year").distinct()
     same = ["author", "year"]
     direct = _by_name(cites, openings)
     missed = cites.join(direct, same, "left_anti")
@@ -112,3 +112,18 @@ def resolve(cites: DataFrame, ledgers: DataFrame, aliases: DataFrame) -> DataFra
     through = _by_name(led.select(F.col("to_author").alias("author"), F.col("to_year").alias("year")).distinct(), openings)
     through = led.join(through.select(F.col("author").alias("to_author"), F.col("year").alias("to_year"), "name"), ["to_author", "to_year"]).select(*same, "name")
     return cites.join(direct.unionByName(through), same, "left").select(*same, "name")
+
+
+def claim_problems(cites: DataFrame, files: DataFrame, aliases: DataFrame, claims: DataFrame, every: bool = False) -> DataFrame:
+    """author, year, claim, code of distinct cites (author, year, claim): no file, no claim, ordinal or, with every, unnamed.
+
+    files: name. claims: key (a file's name without its ending, in lower case), alias, is_slug, as markdown.aliases gives
+    them. A cite without a file has no other problem; a bare ordinal isn't stable unless a claim is named so.
+    """
+    placed = cites.select("author", "year", "claim").distinct().join(resolve(cites, files, aliases), ["author", "year"])
+    named = placed.withColumn("key", F.lower(F.regexp_replace("name", r"\.md$", "")))
+    known = claims.select("key", F.col("alias").alias("claim"), F.col("is_slug")).groupBy("key", "claim").agg(F.bool_or("is_slug").alias("is_slug"))
+    found = named.join(known, ["key", "claim"], "left")
+    code = F.when(F.col("name").isNull(), "no file").when(F.col("claim").isNull(), F.when(F.lit(every), "unnamed")).when(F.col("is_slug").isNull(), "no claim").when(F.lit(every) & ~F.col("is_slug"), "ordinal")
+    return found.select("author", "year", "claim", code.alias("code")).filter("code is not null")
+

@@ -18,14 +18,18 @@ def underpins(edges: DataFrame) -> DataFrame:
 def closure(under: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """node, ancestor (and blocked): all that a node rests on; a node on a cycle rests on itself.
 
-    Semi-naive: each step joins only what the last one found. With blocked (column blocked), paths through each blocked
-    node are cut, for all of them at once. Steps are cut by checkpoint(), so none depends on lost executors.
+    Semi-naive: each step joins only what the last one found, and adds only that. With blocked (column blocked), paths
+    through each blocked node are cut, for all of them at once. Steps are cut by checkpoint(), so none depends on lost
+    executors. On a cluster, spark.checkpoint.dir must name a shared folder.
     """
     spark = under.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp())
     keys = ["node", "ancestor"]
     known = under.select(F.col("upper").alias("node"), F.col("lower").alias("ancestor"))
     step = under.select(F.col("upper").alias("via"), F.col("lower").alias("next"))
@@ -39,7 +43,7 @@ def closure(under: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
         fresh = found.join(known, keys, "left_anti").checkpoint()
         if fresh.isEmpty():
             return known
-        known = known.unionByName(fresh).checkpoint()
+        known = known.unionByName(fresh)  # of checkpoints: what was found before isn't written again
     raise ValueError("a chain of claims is too long")
 
 
@@ -73,7 +77,8 @@ def structure_problems(edges: DataFrame, claims: DataFrame) -> DataFrame:
 def double_count(supports: DataFrame, correlated: DataFrame) -> DataFrame:
     """target, lo, hi, kind: two supporters of one target whose pair is declared correlated. correlated: lo, hi, kind."""
     side = lambda n: supports.select("target", F.col("source").alias(n)).distinct()
-    return side("lo").join(side("hi"), "target").filter("lo < hi").join(correlated, ["lo", "hi"])
+    # From the declared pairs, so supporters of one claim are never paired among themselves.
+    return correlated.filter("lo < hi").join(side("lo"), "lo").join(side("hi"), ["hi", "target"]).select("lo", "hi", "target", "kind")
 
 
 def coverage(edges: DataFrame, records: DataFrame) -> DataFrame:

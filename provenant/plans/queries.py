@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text as X
 from provenant.operators import binding, citations, graph, mermaid, metrics, quotecheck, records, register
+from provenant.plans import projects
 from provenant.sources import html_units
 
 F_ = F.col
@@ -17,16 +18,16 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def norm_profile(s, d):
-    n = _t(s, d, "documents").select("doc_id", X.norm_latin(F_("text")).alias("n"))
+    n = _t(s, d, "documents").select("doc_id", X.norm("text").alias("n"))
     return n.select("doc_id", F.length("n").cast("long").alias("n_norm"), F.length(X.letters(F_("n"))).cast("long").alias("n_letters"), F.sha2("n", 256).alias("digest"))
 
 
 def _quotes(s, d):
-    return _t(s, d, "benchmark").select(F_("item_id").alias("quote_id"), X.norm_latin(F_("text")).alias("quote"))
+    return _t(s, d, "benchmark").select(F_("item_id").alias("quote_id"), F_("text").alias("quote"))
 
 
 def quote_check_pairs(s, d):
-    texts = _t(s, d, "documents").select(F_("doc_id").alias("text_id"), X.norm_latin(F_("text")).alias("text"))
+    texts = _t(s, d, "documents").select(F_("doc_id").alias("text_id"), "text")
     return quotecheck.contained(_quotes(s, d), texts).select(F_("quote_id").alias("item_id"), F_("text_id").alias("doc_id"))
 
 
@@ -34,7 +35,7 @@ def quote_check_verdict(s, d):
     found = quote_check_pairs(s, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     each = _quotes(s, d).join(found, F_("quote_id") == F_("item_id"), "left")
     hit = F_("n").isNotNull()
-    return each.select(F_("quote_id").alias("item_id"), X_verdict(F_("quote"), hit).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_docs"))
+    return each.select(F_("quote_id").alias("item_id"), X_verdict(X.norm("quote"), hit).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
 def X_verdict(needle, hit):
@@ -140,7 +141,7 @@ def confusion_matrix(s, d):
 
 
 def _runs(s, d):
-    n = _t(s, d, "documents").select("lang", X.norm_latin(F_("text")).alias("span"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("k"))
+    n = _t(s, d, "documents").select("lang", X.norm_digest("text").alias("span"), F.regexp_extract("source", "[0-9]+", 0).cast("int").alias("k"))
     return n.filter("k % 2 = 0").select("lang", "span"), n.filter("k % 2 = 1").select("lang", "span")
 
 
@@ -163,7 +164,7 @@ def turn_units(s, d):
 
 
 def register_canonical(s, d):
-    f = _t(s, d, "documents").select(F.sha2(X.norm_latin(F_("text")), 256).alias("key"), F_("doc_id").alias("filename"), F.length("text").alias("size"))
+    f = _t(s, d, "documents").select(X.norm_digest("text").alias("key"), F_("doc_id").alias("filename"), F.length("text").alias("size"))
     return register.canonical(f, "key", -F_("size")).select(F_("filename").alias("doc_id"), "duplicate_of", "canonical")
 
 
@@ -244,9 +245,9 @@ def citations_extract(s, d):
 
 def citations_resolve(s, d):
     key = F.concat(F_("s_suppkey").cast("string"), F.lit("x"))  # no name is the start of another's
-    ledgers = _t(s, d, "supplier").filter("s_suppkey % 5 IN (0, 1)").select(F.when(F_("s_suppkey") % 5 == 0, F.concat(F.lit("Key"), key, F.lit("_2003_notes.md"))).otherwise(F.concat(F.lit("other"), key, F.lit("_2011.md"))).alias("name"))
+    files = _t(s, d, "supplier").filter("s_suppkey % 5 IN (0, 1)").select(F.when(F_("s_suppkey") % 5 == 0, F.concat(F.lit("Key"), key, F.lit("_2003_notes.md"))).otherwise(F.concat(F.lit("other"), key, F.lit("_2011.md"))).alias("name"))
     aliases = _t(s, d, "supplier").filter("s_suppkey % 5 IN (1, 2)").select(F.concat(F.lit("key"), key, F.when(F_("s_suppkey") % 5 == 1, "_2004").otherwise("_2005")).alias("alias"), F.concat(F.lit("other"), key, F.lit("_2011")).alias("target"))
-    return citations.resolve(citations_extract(s, d), ledgers, aliases)
+    return citations.resolve(citations_extract(s, d), files, aliases)
 
 
 def numeric_markers(s, d):
@@ -281,6 +282,8 @@ def units_bind(s, d):
 
 QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, articulation_all, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
 
+QUERIES |= projects.QUERIES
+
 _N = "regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a-z0-9]', '', 'g')"
 _D, _B = _N.format("d.text"), _N.format("b.text")
 _PAIRS = f"pairs AS (SELECT b.item_id, d.doc_id FROM (SELECT item_id, {_N.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {_N.format('text')} AS n FROM documents) d ON contains(d.n, b.n) AND b.n <> '')"
@@ -341,3 +344,17 @@ ORACLES = {
 }
 #: articulation's SQL over all edges.
 ORACLES["articulation_all"] = ORACLES["articulation"].replace(_UNDER_SMALL, _UNDER)
+#: Pages' blocks by their tags alone: what opens a block is marked, what closes one ends it, other tags part pieces by a space.
+_BLOCK = "(h[1-6]|p|li|blockquote)"
+ORACLES["units_html"] = rf"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+  marked AS (SELECT page_id, regexp_replace(regexp_replace(h, '<{_BLOCK}(\s[^>]*)?>', chr(1), 'g'), '</{_BLOCK}>|</?(ul|ol|div|article|nav|footer|table|form|aside|header|main|section)(\s[^>]*)?>', chr(2), 'g') AS h FROM seen),
+  parts AS (SELECT page_id, unnest(string_split(h, chr(1))[2:]) AS part, generate_subscripts(string_split(h, chr(1))[2:], 1) AS nth FROM marked),
+  pieces AS (SELECT page_id, nth, list_filter(list_transform(string_split(regexp_replace(split_part(part, chr(2), 1), '<[^>]*>', chr(3), 'g'), chr(3)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM parts),
+  texts AS (SELECT page_id, nth, replace(replace(replace(replace(replace(array_to_string(p, ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS text FROM pieces)
+  SELECT page_id, 'p' || row_number() OVER (PARTITION BY page_id ORDER BY nth) AS locus, text FROM texts WHERE length({_N.format("text")}) >= 25"""
+_PLAIN = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+ORACLES["page_texts"] = rf"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '<x>', 'gs'), '<!--.*?-->', '<x>', 'gs') AS h FROM pages),
+  pieces AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(h, '<[^>]*>', chr(3), 'g'), chr(3)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM seen),
+  texts AS (SELECT page_id, {_PLAIN.format("array_to_string(p, ' ')")} AS t FROM pieces)
+  SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(regexp_replace(t, '\s+', '', 'g')) AS digest FROM texts"""
+ORACLES |= projects.ORACLES

@@ -10,50 +10,101 @@ from pyspark.sql import functions as F
 
 from provenant.functions.text import norm_text
 
-# Elements that make units, and the least normalised length of one.
-LEAVES = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote")
+# Elements that make units, elements that end an open paragraph, and the least normalised length of a unit.
+LEAVES = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote".split())
+ENDS_P = LEAVES | frozenset("address article aside details div dl fieldset figure footer form header hr main nav ol pre section table ul".split())
+UNSEEN = ("script", "style", "noscript")
 LEAST = 25
 
 
-class _Units(HTMLParser):
+class _Blocks(HTMLParser):
+    """All blocks in the order they open; one that holds another is a container, whose own text counts for nothing."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.parts: list[str] | None = None
-        self.skip = 0
-
-    def _end(self) -> None:
-        if self.parts is not None:
-            text = " ".join("".join(self.parts).split())
-            if len(norm_text(text)) >= LEAST:
-                self.found.append(text)
-        self.parts = None
+        self.blocks: list[dict] = []
+        self.open: list[tuple[str, dict | None]] = []
+        self.unseen = 0
+
+    def _close(self, name: str, *within: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == name:
+                del self.open[i:]
+                return
+            if self.open[i][0] in within:
+                return
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "noscript"):
-            self.skip += 1
-        elif tag in LEAVES:  # an open block that holds another isn't a leaf; one that it ends implicitly is
-            if self.parts is not None and "".join(self.parts).strip():
-                self._end()
-            self.parts = []
+        if tag in UNSEEN:
+            self.unseen += 1
+            return
+        if tag in ENDS_P:
+            self._close("p", "li", "blockquote", "ul", "ol")
+        if tag == "li":
+            self._close("li", "ul", "ol")
+        if tag in LEAVES:
+            for _, block in self.open:
+                if block is not None:
+                    block["leaf"] = False
+            self.blocks.append({"leaf": True, "parts": []})
+            self.open.append((tag, self.blocks[-1]))
+        elif tag in ("ul", "ol"):
+            self.open.append((tag, None))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "noscript"):
-            self.skip = max(0, self.skip - 1)
-        elif tag in LEAVES:
-            self._end()
+        if tag in UNSEEN:
+            self.unseen = max(0, self.unseen - 1)
+        elif tag in LEAVES or tag in ("ul", "ol"):
+            self._close(tag)
 
     def handle_data(self, data):
-        if self.parts is not None and not self.skip:
-            self.parts.append(data)
+        block = next((b for _, b in reversed(self.open) if b is not None), None)
+        if block is not None and not self.unseen and data.strip():
+            block["parts"].append(data.strip())
 
 
 def leaf_blocks(page: str | None) -> list[str]:
-    parser = _Units()
+    """Texts of leaf blocks that are long enough; pieces between tags are parted by a space."""
+    parser = _Blocks()
+    parser.feed(page or "")
+    parser.close()
+    texts = [" ".join(b["parts"]) for b in parser.blocks if b["leaf"]]
+    return [t for t in texts if len(norm_text(t)) >= LEAST]
+
+
+def page_text(page: str | None) -> str:
+    """All text of a page but for what isn't seen, pieces between tags parted by a space."""
+    parser = _Text()
     parser.feed(page or "")
     parser.close()
-    parser._end()
-    return parser.found
+    return " ".join(parser.parts)
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.unseen = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.unseen += tag in UNSEEN
+
+    def handle_endtag(self, tag):
+        self.unseen = max(0, self.unseen - (tag in UNSEEN))
+
+    def handle_data(self, data):
+        if not self.unseen and data.strip():
+            self.parts.append(data.strip())
+
+
+def texts(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """id and text of each page."""
+
+    @F.pandas_udf("string")
+    def text(html: pd.Series) -> pd.Series:
+        return html.map(page_text)
+
+    return pages.select(id_col, text(html_col).alias("text"))
 
 
 def units(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

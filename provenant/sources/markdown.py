@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.functions import text as X
+
 _CLAIM = re.compile(r"^##\s+claim\b", re.IGNORECASE)
 _FIELD = re.compile(r"^\s*\*\*([A-Za-z-]+):\*\*\s*(.*)$")
 _FENCE = ("```", "~~~")
@@ -84,3 +86,42 @@ def aliases(parsed: DataFrame) -> DataFrame:
     ids = F.transform(F.filter("fields", lambda f: F.lower(f["name"]) == "id"), lambda f: F.lower(f["value"]))
     both = parsed.select("key", "ordinal", ids.alias("ids")).select("key", "ordinal", "ids", F.explode(F.array_union(F.array(F.concat(F.lit("c"), F.col("ordinal").cast("string"))), "ids")).alias("alias"))
     return both.select("key", "alias", F.array_contains("ids", F.col("alias")).alias("is_slug"), "ordinal")
+
+
+def bodies(files: DataFrame) -> DataFrame:
+    """key, frontmatter and body of each file: its lines below the frontmatter, each with a line feed; nothing if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            split = [(t or "").splitlines() for t in texts]
+            parts = [frontmatter(lines) for lines in split]
+            below = ["\n".join(lines[start:]) for lines, (_, start) in zip(split, parts, strict=True)]
+            columns = [pa.array(keys, pa.string()), pa.array([list(f.items()) for f, _ in parts], pa.map_(pa.string(), pa.string())), pa.array([b.rstrip("\n") + "\n" if b.strip("\n") else "" for b in below], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "frontmatter", "body"])
+
+    return files.select("key", "text").mapInArrow(run, "key string, frontmatter map<string,string>, body string")
+
+
+def lines(files: DataFrame) -> DataFrame:
+    """key, line (from 1) and text of every line, fenced and quoted ones too."""
+    each = files.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("at", "text"))
+    return each.select("key", (F.col("at") + 1).alias("line"), "text")
+
+
+def edges(files: DataFrame) -> DataFrame:
+    """Edges of claim files: from_key, line, type, source, target, grounding, rec; addresses are qualified by the file's key.
+
+    Every line counts, within fences as well. source is the grounding claim, null if the edge names none.
+    """
+    each = lines(files).filter(F.ltrim("text").startswith("**")).select("key", "line", X.edge(F.col("text")).alias("e")).filter("e.type is not null")
+    own = lambda a: F.when(F.instr(a, ":") > 0, a).otherwise(F.concat_ws(":", "key", a))
+    source = F.when(F.col("e.grounding").isNotNull(), F.concat_ws(":", "key", "e.grounding"))
+    return each.select(F.col("key").alias("from_key"), "line", "e.type", source.alias("source"), own(F.col("e.target")).alias("target"), "e.grounding", "e.rec")
+
+
+def field(parsed: DataFrame, *names: str) -> DataFrame:
+    """key, ordinal, ids, name, value, line of claims' fields of these names, in lower case; ids are those of the claim."""
+    ids = F.transform(F.filter("fields", lambda f: F.lower(f["name"]) == "id"), lambda f: F.lower(f["value"]))
+    each = parsed.select("key", "ordinal", ids.alias("ids"), F.explode("fields").alias("f"))
+    return each.select("key", "ordinal", "ids", F.lower("f.name").alias("name"), "f.value", "f.line").filter(F.col("name").isin(*names))

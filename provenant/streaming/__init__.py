@@ -1 +1 @@
-"""Streaming variants, beyond what batch parity needs."""
+"""Quote checks over texts as they arrive."""

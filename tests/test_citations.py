@@ -25,9 +25,9 @@ def test_cited(text, want):
 
 def test_resolve(spark):
     cites = spark.createDataFrame([("smith", "2020"), ("o'hara", "2001"), ("stone", "2002"), ("chain", "2003"), ("smit", "2020"), ("year", "1202"), (None, "2020"), ("smith", "2020")], "author string, year string")
-    ledgers = spark.createDataFrame([("smithson_2020.md",), ("smith_b_2020.md",), ("Smith_a_2020.md",), ("ohara2001.md",), ("rock_2002.md",), ("smith_2020.txt",), ("stone_20021.md",), (None,)], "name string")
+    files = spark.createDataFrame([("smithson_2020.md",), ("smith_b_2020.md",), ("Smith_a_2020.md",), ("ohara2001.md",), ("rock_2002.md",), ("smith_2020.txt",), ("stone_20021.md",), (None,)], "name string")
     aliases = spark.createDataFrame([("stone_2002", "rock_2002"), ("chain_2003", "stone_2002"), (None, "x")], "alias string, target string")
-    got = {(r.author, r.year): r.name for r in citations.resolve(cites, ledgers, aliases).collect()}
+    got = {(r.author, r.year): r.name for r in citations.resolve(cites, files, aliases).collect()}
     assert got == {("smith", "2020"): "Smith_a_2020.md", ("o'hara", "2001"): "ohara2001.md", ("stone", "2002"): "rock_2002.md", ("chain", "2003"): None, ("smit", "2020"): None, ("year", "1202"): None, (None, "2020"): None}
 
 
