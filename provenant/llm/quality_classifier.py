@@ -187,9 +187,13 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def predicted_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs, all columns, whose score is 0.5 or more; they don't leave their partition."""
-    network = Network().fit(*labelled_sample(docs, labels, id_col, text_col, label_col))
+def predicted_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", known: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose score is 0.5 or more; they don't leave their partition.
+
+    Learns from the labelled documents of known, by default docs. Where docs have been filtered before, known should be
+    the table they come from, as what is left of them holds hardly a bad example.
+    """
+    network = Network().fit(*labelled_sample(docs if known is None else known, labels, id_col, text_col, label_col))
     kinds = dict(docs.dtypes)
 
     def rows(x):

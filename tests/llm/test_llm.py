@@ -566,8 +566,9 @@ def test_pipeline_against_plain(spark, tmp_path):
     verdicts = {r.doc_id: r.distance for r in quality_rules.quality_rules(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
     left = {i: t for i, t in rows if verdicts[i] is not None and verdicts[i] <= quality_rules.CUTOFF}
     assert not {400, 401, 402, 405} & left.keys() and {*range(120)} <= left.keys()
-    learn = sorted((i, y) for i, y, _ in labels if i in left and zlib.crc32(str(i).encode()) % 3 != 1)
-    network = quality_classifier.Network().fit([left[i] for i, _ in learn], [y for _, y in learn], sum(y for _, y in learn) / len(learn))
+    whole = dict(rows)
+    learn = sorted((i, y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    network = quality_classifier.Network().fit([whole[i] or "" for i, _ in learn], [y for _, y in learn], sum(y for _, y in learn) / len(learn))
     left = {i: t for i, t in left.items() if _plain_score(network.p, t) >= 0.5}
     sets, gone = {i: _set(t, 5) for i, t in left.items()}, set()
     for a in sorted(sets):
