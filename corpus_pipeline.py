@@ -42,8 +42,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to labelled ones among docs, predicts to be good."""
-    return predicted_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier predicts to be good. It is fitted to labelled ones of the whole table, bad ones included."""
+    return predicted_good(docs, table(spark, sf_dir, "labels"), known=table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
