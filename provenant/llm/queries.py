@@ -82,7 +82,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_main_text, op4_quality_rules, op5_minhash, op6_warc, op7_embeddings, op8_packing, op9_toxicity, op10_quality_classifier)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.fim import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provenant.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_main_text, op4_quality_rules, op5_minhash, op6_warc, op7_embeddings, op8_packing, op9_toxicity, op10_quality_classifier, op11_fim, op12_language_id, op13_spelling)}
 
 #: Components of undirected links a, b by repeated minima, for small tables.
 _CONNECTED = """
@@ -115,4 +133,32 @@ WITH RECURSIVE v AS (
   ids AS (SELECT vec_id AS id FROM v),{_CONNECTED},
   degree AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
 SELECT vec_id, coalesce(degree.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN degree ON degree.id = v.vec_id""",
+    "op11_fim": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+  draws AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: list_reduce(list_transform(range(0, 8), lambda k: CAST(strpos('0123456789abcdef', x[i + k : i + k]) - 1 AS BIGINT)), lambda p, q: p * 16 + q)) AS d FROM h),
+  cuts AS (SELECT doc_id, t, n, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+  parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cuts),
+  made AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM parts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(o) AS output_sha256, sha256(t) AS restored_sha256,
+  CASE WHEN form <> 'plain' THEN CAST(len(regexp_extract_all(p, '[^ \x09-\x0D]+')) AS BIGINT) END AS prefix_words,
+  CASE WHEN form <> 'plain' THEN CAST(len(regexp_extract_all(p || m, '[^ \x09-\x0D]+')) - len(regexp_extract_all(p, '[^ \x09-\x0D]+')) AS BIGINT) END AS middle_words FROM made""",
+    "op13_spelling": """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS x, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+  bytes AS (SELECT run, n, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: CAST((strpos('0123456789ABCDEF', b[1:1]) - 1) * 16 + strpos('0123456789ABCDEF', b[2:2]) - 1 AS BIGINT)) AS b FROM counted),
+  hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, y: xor(c >> 8, crc.t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+  slipped AS (SELECT n, CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+  words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  gone AS (SELECT DISTINCT word, n, i, without FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, word[:i - 1] || word[i + 1:] AS without FROM words)),
+  near AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM gone a JOIN gone b ON a.without = b.without AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.without = b.word
+    UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.without = b.word),
+  ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(other)) AS k FROM near),
+  forms AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 5 * w.n THEN r.other END AS form, CASE WHEN r.n >= 5 * w.n THEN r.n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+  steps AS (SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT s.word, f.form, s.k + 1 FROM steps s JOIN forms f ON f.word = s.here WHERE f.form IS NOT NULL),
+  ends AS (SELECT word, arg_max(here, k) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
 }
