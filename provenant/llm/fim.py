@@ -65,7 +65,7 @@ class Scan(NamedTuple):
             after = np.concatenate([np.zeros(1, np.int64), self.breaks + 1])
             return after[after < self.length]
         ends = self.breaks
-        spaces = ends[np.diff(ends, prefix=-2) > 1]  # a run of white space is a unit, as a word is
+        spaces = ends[np.diff(ends, prepend=-2) > 1]  # a run of white space is a unit, as a word is
         return np.sort(np.concatenate([self.words(), spaces]))
 
 
