@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.sources.scratch import stored
+
 #: More steps than any chain of claims has.
 MOST_STEPS = 1000
 
@@ -47,6 +49,21 @@ def closure(under: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     raise ValueError("a chain of claims is too long")
 
 
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node of all that edges (node, next) lead to from start (node), start included.
+
+    Each step follows only the edges of what the last one found, so every edge is followed once; steps are written to the
+    shared folder.
+    """
+    step = stored(edges.select("node", "next").distinct(), "edges")
+    known = fresh = stored(start.select("node").distinct(), "reached")
+    while not fresh.isEmpty():
+        found = fresh.join(step, "node").select(F.col("next").alias("node")).distinct()
+        fresh = stored(found.join(known, "node", "left_anti"), "reached")
+        known = known.unionByName(fresh)
+    return known
+
+
 def cuts(under: DataFrame) -> DataFrame:
     """node, cut: ancestors without which some other ancestor no longer reaches the node.
 
