@@ -91,9 +91,9 @@ _STOPS = ("dot", "punkt", "point", "punto")
 
 _FLAGS = re.IGNORECASE
 _NUMBER = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
-_ITEM = rf"(?:(?:{_NUMBER}|[0-9]++)(?!\w)|(?:{'|'.join(_STOPS)})(?=\W{{1,3}}(?:{_NUMBER}|[0-9]++)(?!\w)))"
-#: Number words and digits in a row, two or more, with what separates them.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?{_ITEM}(?:\W{{1,3}}{_ITEM})++", _FLAGS)
+_ITEM = rf"(?:(?:{_NUMBER}|[0-9]++)(?!\w)|(?:{'|'.join(_STOPS)})(?=\W++(?:{_NUMBER}|[0-9]++)(?!\w)))"
+#: Number words and digits in a row, two or more, with what separates them, however long that is; each stretch of it is read once or twice.
+_SPELLED = re.compile(rf"(?<!\w)(?:plus\W++)?{_ITEM}(?:\W++{_ITEM})++", _FLAGS)
 #: Least digits of an identifier.
 _LEAST_DIGITS = 4
 _TOKEN = re.compile(r"\w+|\+", _FLAGS)
