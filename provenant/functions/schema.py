@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,48 +20,88 @@ RECORD = {
     },
 }
 _TYPES = {"null": type(None), "string": str, "integer": int, "boolean": bool, "array": list, "object": dict}
+_LACKS = object()
 
 
-def _is(value: object, name: str) -> bool:
-    return isinstance(value, _TYPES.get(name, ())) and (name == "boolean" or not isinstance(value, bool))
-
-
-def errors(value: object, schema: dict, path: str = "$") -> list[str]:
-    """path: what is wrong there, for each fault, in the schema's order; nothing deeper where the type is wrong."""
-    wanted = schema.get("type", [])
-    wanted = wanted if isinstance(wanted, list) else [wanted]
-    if wanted and not any(_is(value, w) for w in wanted):
-        return [f"{path}: not {' or '.join(wanted)}"]
-    found = []
-    if "enum" in schema and value not in schema["enum"]:
-        found.append(f"{path}: not one of the values")
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        found.append(f"{path}: not of the pattern")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        found += [f"{path}: {name} is missing" for name in schema.get("required", []) if name not in value]
-        if schema.get("additionalProperties") is False:
-            found += [f"{path}: {name} is unknown" for name in value if name not in known]
-        for name, sub in known.items():
-            if name in value:
-                found += errors(value[name], sub, f"{path}.{name}")
-    if isinstance(value, list) and "items" in schema:
-        for i, item in enumerate(value):
-            found += errors(item, schema["items"], f"{path}[{i}]")
+def _kinds(schema: dict) -> list[str]:
+    return [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", [])
+
+
+def _typed(value: object, schema: dict) -> bool:
+    kinds = _kinds(schema)
+    return not kinds or any(type(value) is _TYPES.get(k) for k in kinds)
+
+
+#: What each keyword finds fault with: of a value and the schema's word for it, one message a fault.
+_FAULTS = {
+    "type": lambda value, _, schema: [] if _typed(value, schema) else [f"not {' or '.join(_kinds(schema))}"],
+    "enum": lambda value, words, _: [] if value in words else ["not one of the values"],
+    "pattern": lambda value, pattern, _: ["not of the pattern"] if isinstance(value, str) and not re.search(pattern, value) else [],
+    "required": lambda value, names, _: [f"{n} is missing" for n in names if n not in value] if isinstance(value, dict) else [],
+    "additionalProperties": lambda value, more, schema: [f"{n} is unknown" for n in value if n not in schema.get("properties", {})] if isinstance(value, dict) and more is False else [],
+}
+
+
+def _parts(value: object, schema: dict) -> list[tuple[str, object, dict]]:
+    """The path, value and schema of a value and of all within it that its schema speaks of; of what has the wrong type only itself."""
+    found, todo = [], [("$", value, schema)]
+    while todo:
+        path, v, s = todo.pop()
+        found.append((path, v, s))
+        if not _typed(v, s):
+            continue
+        named = [(f"{path}.{n}", v.get(n, _LACKS), sub) for n, sub in s.get("properties", {}).items()] if isinstance(v, dict) else []
+        listed = [(f"{path}[{i}]", x, s["items"]) for i, x in enumerate(v)] if isinstance(v, list) and "items" in s else []
+        todo += [part for part in reversed(named + listed) if part[1] is not _LACKS]
     return found
 
 
+def errors(value: object, schema: dict) -> list[str]:
+    """path: what is wrong there, for each fault, by keyword and in the order of the schema; a wrong type is told alone."""
+    told = []
+    for path, v, s in _parts(value, schema):
+        words = ["type"] if not _typed(v, s) else [k for k in _FAULTS if k in s]
+        told += [f"{path}: {fault}" for k in words for fault in _FAULTS[k](v, s.get(k), s)]
+    return told
+
+
+def _of_text(value: Column, rules: dict, path: Column) -> Column:
+    """Faults of a value, a variant or null, that has to be a text."""
+    text = F.try_variant_get(value, "$", "string")
+    right = F.schema_of_variant(value) == "STRING"
+    told = [F.when(~right, F.concat(path, F.lit(": not string")))]
+    if "enum" in rules:
+        told.append(F.when(right & ~text.isin(rules["enum"]), F.concat(path, F.lit(": not one of the values"))))
+    if "pattern" in rules:
+        told.append(F.when(right & ~text.rlike(rules["pattern"]), F.concat(path, F.lit(": not of the pattern"))))
+    return F.array_compact(F.array(*told))
+
+
 def schema_errors(text: Column, schema: dict = RECORD) -> Column:
-    """The errors of a JSON text; one, not JSON, if it can't be read, a null one too."""
+    """The errors of a JSON text by a schema of an object of texts and of lists of texts, without Python.
 
-    @F.pandas_udf("array<string>")
-    def found(x: pd.Series) -> pd.Series:
-        def row(t):
-            try:
-                return errors(json.loads(t), schema)
-            except (TypeError, ValueError):
-                return ["$: not JSON"]
+    One, not JSON, if it can't be read: a null one too, and an object that has a name twice.
+    """
+    whole = F.try_parse_json(text)
+    none = F.array().cast("array<string>")
+    fields = F.coalesce(F.try_variant_get(whole, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    names = F.map_keys(fields)
+    lit = lambda values: F.array(*map(F.lit, values))
+    parts = [F.transform(F.array_except(lit(schema["required"]), names), lambda n: F.concat(F.lit("$: "), n, F.lit(" is missing")))]
+    if schema.get("additionalProperties") is False:
+        parts.append(F.transform(F.array_except(names, lit(schema["properties"])), lambda n: F.concat(F.lit("$: "), n, F.lit(" is unknown"))))
+    for name, rules in schema["properties"].items():
+        value, path = F.try_element_at(fields, F.lit(name)), F.lit(f"$.{name}")
+        if rules["type"] == "string":
+            told = _of_text(value, rules, path)
+        else:
+            told = _of_list(value, rules["items"], path)
+        parts.append(F.when(F.array_contains(names, name), told).otherwise(none))
+    shape = F.schema_of_variant(whole)
+    return F.when(whole.isNull(), lit(["$: not JSON"])).when(~shape.startswith("OBJECT"), lit(["$: not object"])).otherwise(F.concat(*parts))
 
-        return x.map(row)
 
-    return found(text)
+def _of_list(value: Column, rules: dict, path: Column) -> Column:
+    items = F.try_variant_get(value, "$", "array<variant>")
+    each = F.transform(items, lambda v, i: _of_text(v, rules, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.flatten(each)).otherwise(F.array(F.concat(path, F.lit(": not array"))))

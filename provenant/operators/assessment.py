@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import text as X
@@ -139,10 +139,11 @@ def prose_references(prose: DataFrame, records: DataFrame, good: DataFrame) -> D
 
     records: id of every record; good: id of the valid ones.
     """
-    parts = F.split("text", r"\[rec:")
-    each = prose.filter(F.contains("text", F.lit("[rec:"))).withColumn("parts", parts).select("path", F.posexplode(F.expr("slice(parts, 2, size(parts))")).alias("at", "tail"), "parts")
-    before = F.expr("array_join(slice(parts, 1, at + 1), ' ')")
-    each = each.filter(F.contains("tail", F.lit("]"))).select("path", (F.length(F.regexp_replace(before, r"[^\n]", "")) + 1).alias("line"), F.trim(F.regexp_replace(F.substring_index("tail", "]", 1), r"^\s+|\s+$", "")).alias("ref"))
+    # Pieces are numbered and their line feeds summed up in one window, which has a row for each marker of a text.
+    pieces = prose.filter(F.contains("text", F.lit("[rec:"))).select("path", F.monotonically_increasing_id().alias("__row"), F.posexplode(F.split("text", r"\[rec:")).alias("at", "tail"))
+    before = F.sum(F.length("tail") - F.length(F.replace("tail", F.lit("\n"), F.lit("")))).over(Window.partitionBy("path", "__row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    each = pieces.withColumn("line", (before + 1).cast("int")).filter("at > 0")
+    each = each.filter(F.contains("tail", F.lit("]"))).select("path", "line", F.trim(F.regexp_replace(F.substring_index("tail", "]", 1), r"^\s+|\s+$", "")).alias("ref"))
     ids = records.select(F.col("id").alias("__id")).distinct().withColumn("there", F.lit(True))
     fine = good.select(F.col("id").alias("__good")).distinct()
     found = each.join(ids, F.lower("ref") == F.col("__id"), "left").join(fine, F.lower("ref") == F.col("__good"), "left")

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from provenant.functions import text as X
 
 SEED, STRIDE = 16, 8
-#: Most characters of normalised quotes that are broadcast as one automaton.
-BROADCAST_CHARS = 32_000_000
+#: Most characters of normalised quotes that are broadcast as one automaton, which takes about 50 bytes a character in each worker.
+BROADCAST_CHARS = 1_000_000
 
 
 def contained(quotes: DataFrame, texts: DataFrame) -> DataFrame:

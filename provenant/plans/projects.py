@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provenant.functions import text as X
 from provenant.operators import assessment, citations, faithfulness, metrics, project, provenance, quotecheck, register, selection, synthesis
 from provenant.sources import fields, html_units, markdown
+from provenant.sources.scratch import stored
 
 C = F.col
 NONE = "cast(null as string)"
@@ -82,8 +83,8 @@ def structure_gate(s, d):
 
 def _records(s, d):
     """stem, record: an edge record for every third file's first edge, a judgement of it, and what may be wrong with them."""
-    files = _claim_files(s, d)
-    claims = assessment.claim_table(files).select(F.concat_ws(":", "key", "alias").alias("subject"), F.sha2("body", 256).alias("now"))
+    files = stored(_claim_files(s, d), "claim-files")
+    claims = stored(assessment.claim_table(files).select(F.concat_ws(":", "key", "alias").alias("subject"), F.sha2("body", 256).alias("now")), "claims")
     to = F.when(C("i") % 10 == 9, _cat("k", C("i") + 1, ":zz")).otherwise(_cat("k", C("i") + 1, ":a", C("i") + 1))
     from_ = F.when(C("i") % 11 == 5, _cat("k", C("i"), ":nope")).otherwise(_cat("k", C("i"), ":a", C("i")))
     base = _suppliers(s, d).filter("i % 3 = 1 or i % 4 = 1")
@@ -95,7 +96,7 @@ def _records(s, d):
     plain = _cat('{"assess_version": "1", "assessed_date": "', C("day"), '", "assessor": "x", "assessor_tool": "t", "body_sha256": "', C("body"), '"', opt("disputes", F.concat(F.lit('["'), "disputes", F.lit('"]'))), ', "grounding": ["', C("ground"), '"], "id": "', C("id"), '", "kind": "', C("kind"), '"%s', opt("reviews", F.concat(F.lit('["'), "reviews", F.lit('"]'))), opt("span", F.concat(F.lit('"'), "span", F.lit('"'))), ', "subject": "', C("subject"), '"}')
     seal = F.when((C("i") % 12 == 1) & (C("kind") == "edge"), "broken").otherwise(F.sha2(F.replace(plain, F.lit("%s"), F.lit("")), 256))
     record = F.replace(plain, F.lit("%s"), F.concat(F.lit(', "record_sha256": "'), seal, F.lit('"')))
-    return each.select("stem", record.alias("record")), files
+    return stored(each.select("stem", record.alias("record")), "records"), files
 
 
 def record_gate(s, d):
@@ -108,7 +109,7 @@ def record_links(s, d):
 
 def _valid(s, d):
     records, files = _records(s, d)
-    return assessment.valid(records, assessment.record_problems(records, files)), records, files
+    return stored(assessment.valid(records, assessment.record_problems(records, files)), "valid"), records, files
 
 
 def edge_assessment(s, d):
@@ -147,6 +148,10 @@ def marker_gate(s, d):
 
 def prose_refs(s, d):
     good, records, _ = _valid(s, d)
+    return _prose_refs(s, d, good, records)
+
+
+def _prose_refs(s, d, good, records):
     text = _cat("First line\nseen [rec: e", C("i"), "] and", _on(C("i") % 2 == 0, "\nthen [rec:\nF", C("i"), "]"), _on(C("i") % 5 == 0, " or [rec: two words]"))
     return assessment.prose_references(_suppliers(s, d).select(_cat("content/n", C("i"), ".md").alias("path"), text.alias("text")), assessment.parse(records), good)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provenant.operators import assessment, views
 from provenant.plans import projects as P
 from provenant.sources import markdown
+from provenant.sources.scratch import stored
 
 C = F.col
 
@@ -16,7 +17,7 @@ def _warnings(s, files, records):
 
 
 def _subjects(s, d, good, records, files):
-    refs = P.prose_refs(s, d).filter("outcome = 'valid'").select("ref")
+    refs = P._prose_refs(s, d, good, records).filter("outcome = 'valid'").select("ref")
     return views.trace(_warnings(s, files, records), good, refs)
 
 
@@ -27,7 +28,8 @@ def evidence_trace(s, d):
 
 def evidence_edges(s, d):
     good, records, files = P._valid(s, d)
-    return views.trace_edges(_subjects(s, d, good, records, files), files, records, good).drop("line")
+    subjects = stored(_subjects(s, d, good, records, files), "subjects")
+    return views.trace_edges(subjects, files, records, good).drop("line")
 
 
 def contested_claims(s, d):

@@ -148,3 +148,23 @@ def test_empty_project(spark):
     assert selection.flow_problems(rows, keys, keys).count() == 0
     cites = spark.createDataFrame([], "author string, year string, claim string")
     assert citations.claim_problems(cites, spark.createDataFrame([], "name string"), spark.createDataFrame([], "alias string, target string"), spark.createDataFrame([], "key string, alias string, is_slug boolean")).count() == 0
+
+
+def test_schema_without_python(spark):
+    """Column expressions find what the general check finds, on records with one fault or several."""
+    import random
+
+    rng = random.Random(3)
+    good = json.loads(_record())
+    odd = [None, 1, 2.5, True, "", "edge", "20240101", [], ["a"], ["a", 1, None], {"x": 1}, "2024010", "é"]
+    texts = [json.dumps({**{k: v for k, v in good.items() if rng.random() > 0.1}, **{rng.choice([*good, "span", "disputes", "new"]): rng.choice(odd) for _ in range(rng.choice((0, 1, 3)))}}) for _ in range(120)]
+    texts += ["[]", "3", '"x"', "null", "{}", "{", "", None]
+
+    def plain(t):
+        try:
+            return schema.errors(json.loads(t), schema.RECORD)
+        except (TypeError, ValueError):
+            return ["$: not JSON"]
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", schema.schema_errors(F.col("t")).alias("e")).collect()
+    assert {r.i: sorted(r.e) for r in got} == {i: sorted(plain(t)) for i, t in enumerate(texts)}
