@@ -2,8 +2,9 @@
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of every whole text. What passes them
 is judged by a minimum-covariance-determinant estimate of its language and source: vectors of transformed statistics
-are rejected by Mahalanobis distance. Concentration steps start from coordinatewise medians, and each is one
-aggregation over a narrow table of statistics, so no group is ever gathered in a task.
+are rejected by Mahalanobis distance. The subset of least determinant is searched from several starts: each takes a few
+concentration steps, the one whose covariance has the least determinant goes on, and it stops where the determinant no
+longer falls. A step is one aggregation over a narrow table of statistics, so no group is ever gathered in a task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import column, cut
+from provenant.llm.common import column, cut, is_empty
 
 SPACE = r"[ \x09-\x0D]+"
 #: Least documents that a language and source needs for an estimate of its own; smaller ones of a language are pooled, and
@@ -21,7 +22,10 @@ SPACE = r"[ \x09-\x0D]+"
 MIN_GROUP = 60
 #: Part of a group that a concentration step keeps.
 SUBSET = 0.75
-STEPS = 3
+#: Centres and shapes that the search starts from, by medians: deviations alone, and correlations of bounded scores or of directions.
+STARTS = 3
+#: Concentration steps of every start, and most of the one that goes on; the logarithm of its determinant has settled when it falls by less.
+STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-3
 #: Rejected beyond this squared distance: the 0.999 quantile of chi-squared with six degrees of freedom.
 CUTOFF = 22.4577
 #: The 0.75 quantile of chi-squared with six degrees of freedom, to which a group's own quantile is scaled.
@@ -89,14 +93,97 @@ def _total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def _cholesky(cov: dict[tuple[str, str], Column], names: list[str]) -> dict[str, Column]:
-    """The inverse of the covariance's lower Cholesky factor, entry by entry, as structs would be too deep to share."""
-    made: dict[str, Column] = {}
+def _with_cholesky(rows: DataFrame, cov: dict[tuple[str, str], Column], names: list[str]) -> DataFrame:
+    """Adds the lower Cholesky factor of a covariance, entry by entry, as structs would be too deep to share, and log_det."""
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
             rest = cov[b, a] - _total([F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)]) if j else cov[b, a]
-            made[f"l_{i}_{j}"] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")
-    return made
+            rows = rows.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    return rows.withColumn("log_det", 2 * _total([F.log(f"l_{i}_{i}") for i in range(len(names))]))
+
+
+def _kept(names: list[str]) -> list[str]:
+    """Columns of an estimate besides its group."""
+    return [*(f"m_{x}" for x in names), *(f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)), "log_det"]
+
+
+def _measured(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Adds distance, the squared one by the estimate that rows carry."""
+    c = F.col
+    for i, x in enumerate(names):
+        rest = c(x) - c(f"m_{x}")
+        rows = rows.withColumn(f"y_{i}", (rest - _total([c(f"l_{i}_{k}") * c(f"y_{k}") for k in range(i)]) if i else rest) / c(f"l_{i}_{i}"))
+    return rows.withColumn("distance", _total([c(f"y_{i}") * c(f"y_{i}") for i in range(len(names))]))
+
+
+def _moments(rows: DataFrame, group: list[str], values: dict[str, Column]) -> DataFrame:
+    """n, t_x and t_x_y: sums of values and of their products."""
+    cols = list(values)
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(f"t_{x}") for x, v in values.items()), *(F.sum(values[a] * values[b]).alias(f"t_{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]))
+
+
+def _covariance(cols: list[str]) -> dict[tuple[str, str], Column]:
+    c = F.col
+    return {(a, b): (c(f"t_{a}_{b}") - c(f"t_{a}") * c(f"t_{b}") / c("n")) / c("n") for i, a in enumerate(cols) for b in cols[i:]}
+
+
+def _starts(stats: DataFrame, group: list[str], names: dict[str, float], near) -> DataFrame:
+    """group, start and the first estimates of each group, stored."""
+    cols, c = list(names), F.col
+    medians = cut(stats.groupBy(*group).agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m_{x}") for x in cols)), "medians")
+    off = stats.join(near(medians), group)
+    spreads = cut(off.groupBy(*group).agg(*(F.percentile_approx(F.abs(c(x) - c(f"m_{x}")), 0.5, 2000).alias(f"s_{x}") for x in cols)).join(medians, group), "spreads")
+    wide = {x: F.greatest(1.4826 * c(f"s_{x}"), F.lit(least)) for x, least in names.items()}
+    scored = stats.join(near(spreads), group).withColumns({f"z_{x}": (c(x) - c(f"m_{x}")) / wide[x] for x in cols})
+    length = F.greatest(F.sqrt(_total([c(f"z_{x}") * c(f"z_{x}") for x in cols])), F.lit(1e-9))
+    bounded = _moments(scored, group, {x: F.tanh(f"z_{x}") for x in cols})
+    turned = _moments(scored.withColumn("length", length), group, {x: c(f"z_{x}") / c("length") for x in cols})
+    one = [spreads.withColumns({f"r_{a}_{b}": F.lit(float(a == b)) for i, a in enumerate(cols) for b in cols[i:]})]
+    for made in (bounded, turned):
+        cov = _covariance(cols)
+        size = {x: F.sqrt(F.greatest(cov[x, x], F.lit(1e-9))) for x in cols}
+        # A share of the identity keeps shapes regular where a statistic hardly varies.
+        one.append(made.select(*group, *((F.lit(1.0) if a == b else 0.95 * cov[a, b] / (size[a] * size[b])).alias(f"r_{a}_{b}") for i, a in enumerate(cols) for b in cols[i:])).join(spreads, group))
+    whole = reduce(DataFrame.unionByName, [df.withColumn("start", F.lit(k)) for k, df in enumerate(one)])
+    shaped = _with_cholesky(whole, {(a, b): c(f"r_{a}_{b}") * wide[a] * wide[b] for i, a in enumerate(cols) for b in cols[i:]}, cols)
+    return cut(shaped.select(*group, "start", *_kept(cols)), "starts")
+
+
+def concentrated(rows: DataFrame, estimate: DataFrame, group: list[str], names: dict[str, float], near) -> DataFrame:
+    """The estimates of the parts of groups that are nearest by the given ones, of which rows of other groups are left out. Stored."""
+    cols, c = list(names), F.col
+    limit = _measured(rows.join(near(estimate), group), cols).groupBy(*group).agg(F.percentile_approx("distance", SUBSET, 2000).alias("limit")).join(near(estimate), group)
+    inside = _measured(rows.join(near(limit), group), cols).filter("distance <= limit")
+    # Moments about the last centre lose no digits.
+    centre = [f"m_{x}" for x in cols]
+    made = _moments(inside, [*group, *centre], {x: c(x) - c(f"m_{x}") for x in cols})
+    cov = {(a, b): v + (F.lit(names[a] ** 2) if a == b else F.lit(0.0)) for (a, b), v in _covariance(cols).items()}
+    moved = {f"m_{x}": c(f"m_{x}") + c(f"t_{x}") / c("n") for x in cols}
+    return cut(_with_cholesky(made, cov, cols).withColumns(moved).select(*group, *_kept(cols)), "estimates")
+
+
+def least_determinants(stats: DataFrame, group: list[str], names: dict[str, float]) -> DataFrame:
+    """group, m_x, l_i_j (the covariance's Cholesky factor) and log_det of the estimate of each group of stats, a stored table.
+
+    From each start STEPS concentration steps are taken; the one of least determinant goes on until that no longer falls.
+    """
+    cols, c = list(names), F.col
+    few = stats.select(*group).distinct().count() * STARTS <= BROADCAST_GROUPS
+    near = lambda df: F.broadcast(df) if few else df
+    now = _starts(stats, group, names, near)
+    each = stats.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    for _ in range(STEPS):
+        now = concentrated(each, now, [*group, "start"], names, near)
+    least = lambda df, *by: df.groupBy(*group).agg(F.min_by(F.struct(*_kept(cols)), F.struct("log_det", *by)).alias("e")).select(*group, "e.*")
+    moving = cut(least(now, "start"), "best")
+    passed = [moving]
+    for _ in range(MOST_STEPS):
+        further = concentrated(stats, moving, group, names, near)
+        moving = further.join(near(moving.select(*group, c("log_det").alias("was"))), group).filter(c("log_det") < c("was") - SETTLED).drop("was")
+        if is_empty(moving):
+            break
+        passed.append(moving)
+    return cut(least(reduce(DataFrame.unionByName, passed)), "best")
 
 
 def robust_distance(stats: DataFrame, group: list[str], names: dict[str, float]) -> DataFrame:
@@ -104,46 +191,12 @@ def robust_distance(stats: DataFrame, group: list[str], names: dict[str, float])
 
     stats must be a stored table. group: columns without nulls. names: statistics and the least deviation of each.
     """
-    cols = list(names)
-    c = F.col
-
-    def joined(to: DataFrame, estimate: DataFrame) -> DataFrame:
-        return to.join(F.broadcast(estimate) if few else estimate, group)
-
-    start = cut(stats.groupBy(*group).agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m_{x}") for x in cols)), "medians")
-    few = start.count() <= BROADCAST_GROUPS
-    off = joined(stats, start)
-    spread = cut(off.groupBy(*group).agg(*(F.percentile_approx(F.abs(c(x) - c(f"m_{x}")), 0.5, 2000).alias(f"s_{x}") for x in cols)).join(start, group), "spreads")
-    first = _total([F.pow((c(x) - c(f"m_{x}")) / F.greatest(1.4826 * c(f"s_{x}"), F.lit(least)), 2) for x, least in names.items()])
-    estimate, distance = spread, first
-    for step in range(STEPS):
-        near = joined(stats, estimate).withColumn("distance", distance)
-        limit = cut(near.groupBy(*group).agg(F.percentile_approx("distance", SUBSET, 2000).alias("limit")).join(estimate, group), f"limits-{step}")
-        inside = joined(stats, limit).withColumn("distance", distance).filter("distance <= limit")
-        # Moments about the last centre lose no digits.
-        shift = {x: c(x) - c(f"m_{x}") for x in cols}
-        moments = inside.groupBy(*group, *(f"m_{x}" for x in cols)).agg(
-            F.count(F.lit(1)).alias("n"), *(F.sum(shift[x]).alias(f"t_{x}") for x in cols),
-            *(F.sum(shift[a] * shift[b]).alias(f"t_{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]),
-        )
-        cov = {(a, b): (c(f"t_{a}_{b}") - c(f"t_{a}") * c(f"t_{b}") / c("n")) / c("n") + (F.lit(names[a] ** 2) if a == b else F.lit(0.0)) for i, a in enumerate(cols) for b in cols[i:]}
-        made = moments
-        for name, entry in _cholesky(cov, cols).items():
-            made = made.withColumn(name, entry)
-        kept = [f"l_{i}_{j}" for i in range(len(cols)) for j in range(i + 1)]
-        estimate = cut(made.select(*group, *((c(f"m_{x}") + c(f"t_{x}") / c("n")).alias(f"m_{x}") for x in cols), *kept), f"estimates-{step}")
-        distance = c("y_sum")
-
-        def measured(rows: DataFrame) -> DataFrame:
-            for i, x in enumerate(cols):
-                rest = c(x) - c(f"m_{x}")
-                rows = rows.withColumn(f"y_{i}", (rest - _total([c(f"l_{i}_{k}") * c(f"y_{k}") for k in range(i)]) if i else rest) / c(f"l_{i}_{i}"))
-            return rows.withColumn("y_sum", _total([c(f"y_{i}") * c(f"y_{i}") for i in range(len(cols))]))
-
-        joined = lambda to, by, deep=measured: deep(to.join(F.broadcast(by) if few else by, group))
-    near = joined(stats, estimate)
-    scale = cut(near.groupBy(*group).agg(F.percentile_approx("y_sum", SUBSET, 2000).alias("limit")).join(estimate, group), "scales")
-    return joined(stats, scale).withColumn("distance", c("y_sum") * F.least(F.lit(1.0), CHI2_SUBSET / F.greatest(c("limit"), F.lit(1e-9)))).select(*stats.columns, "distance")
+    cols, c = list(names), F.col
+    best = least_determinants(stats, group, names)
+    near = F.broadcast if best.count() <= BROADCAST_GROUPS else lambda df: df
+    scale = cut(_measured(stats.join(near(best), group), cols).groupBy(*group).agg(F.percentile_approx("distance", SUBSET, 2000).alias("limit")).join(best, group), "scales")
+    scaled = c("distance") * F.least(F.lit(1.0), CHI2_SUBSET / F.greatest(c("limit"), F.lit(1e-9)))
+    return _measured(stats.join(near(scale), group), cols).withColumn("distance", scaled).select(*stats.columns, "distance")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
