@@ -81,9 +81,9 @@ def numeric_markers(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(text, F.lit("(?U)" + BRACKETED), F.lit(1)), F.regexp_extract_all(text, F.lit(RAISED), F.lit(1)))
 
 
-def _openings(files: DataFrame) -> DataFrame:
-    """name, author, year: all that a claim file's name can be cited by. There are at most as many as its length squared."""
-    low = files.select("name", F.lower("name").alias("low")).filter(F.col("low").endswith(".md"))
+def _openings(files: DataFrame, ending: str = ".md") -> DataFrame:
+    """name, author, year: all that the name of a file with that ending can be cited by. There are at most as many as its length squared."""
+    low = files.select("name", F.lower("name").alias("low")).filter(F.col("low").endswith(ending))
     # An author is a start of the name that no letter follows; a year lies behind it and no digit follows that.
     ends = F.filter(F.sequence(F.lit(1), F.length("low")), lambda i: ~F.substring(F.col("low"), i + 1, F.lit(1)).rlike("[a-z]"))
     each = low.select("name", "low", F.explode(ends).alias("end"))
@@ -118,6 +118,26 @@ def resolve(cites: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame
     return cites.join(direct.unionByName(through), same, "left").select(*same, "name")
 
 
+def papers(cites: DataFrame, register: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct author, year of cites, each with by: register, file or null, and the register's best row for it: key, extension, status.
+
+    A citation has a paper if a usable row of the register (key, extension, status) has its author and year as key, with a
+    letter behind it or not, or if the name of one of files (name) does. Of several rows, usable or not, the best is verified
+    before downloaded before others, then HTML before PDF before others, then first by key. Nulls have no paper.
+    """
+    c, same = F.col, ["author", "year"]
+    asked = cites.select(*same).distinct()
+    spelt = asked.select(*same, F.explode(F.array_distinct(F.array("author", F.regexp_replace("author", "['-]", "")))).alias("spelling"))
+    parts = r"^(.*)_(\d{4})[a-z]?$"
+    rows = register.withColumns({"spelling": F.regexp_extract(F.lower("key"), parts, 1), "year": F.regexp_extract(F.lower("key"), parts, 2)}).filter("spelling <> ''")
+    usable = c("status").isin("verified", "downloaded") | c("status").startswith("duplicate_of:")
+    rank = F.struct(F.when(c("status") == "verified", 0).when(c("status") == "downloaded", 1).otherwise(2).alias("s"), F.when(c("extension") == "html", 0).when(c("extension") == "pdf", 1).otherwise(2).alias("e"), c("key"), c("extension"), c("status"))
+    best = spelt.join(rows, ["spelling", "year"]).groupBy(*same).agg(F.min(rank).alias("b"), F.bool_or(usable).alias("usable"))
+    named = spelt.join(_openings(files, "").select(c("author").alias("spelling"), "year"), ["spelling", "year"], "left_semi").select(*same).distinct().withColumn("named", F.lit(True))
+    found = asked.join(best, same, "left").join(named, same, "left")
+    return found.select(*same, F.when(c("usable"), "register").when(c("named"), "file").alias("by"), "b.key", "b.extension", "b.status")
+
+
 def claim_problems(cites: DataFrame, files: DataFrame, aliases: DataFrame, claims: DataFrame, every: bool = False) -> DataFrame:
     """author, year, claim, code of distinct cites (author, year, claim): no file, no claim, ordinal or, with every, unnamed.
 

@@ -151,6 +151,35 @@ def register_rows(register: DataFrame, added_on: str) -> DataFrame:
     return made.orderBy(F.coalesce(F.nullif("key", F.lit("")), F.lit("~")), "filename")
 
 
+#: Statuses of the review in their order, and clusters of duplicates that it shows.
+STATUSES, CLUSTERS = ("verified", "downloaded", "mismatch", "landing_page", "duplicate_of", "unknown"), 20
+
+
+def review(register: DataFrame) -> DataFrame:
+    """section, item, n, detail of what someone has to look at in a register (filename, key, status, fn_author, fn_year, meta_author, meta_year, size_kb, notes).
+
+    status: how many files have each of STATUSES, and files and keys in all. mismatch: files whose name says another paper than
+    their metadata, with both. landing_page and unknown: files, with what was noted. cluster: the CLUSTERS keys with most
+    duplicates, ties by key, each with its first three files.
+    """
+    c = F.col
+    kind = F.substring_index("status", ":", 1)
+    empty = register.sparkSession.createDataFrame([(k,) for k in STATUSES], "item string")
+    counts = empty.join(F.broadcast(register.groupBy(kind.alias("item")).agg(F.count(F.lit(1)).alias("n"))), "item", "left")
+    whole = register.agg(F.count(F.lit(1)).alias("files"), F.countDistinct(F.when(kind != "duplicate_of", c("key"))).alias("keys"))
+    totals = whole.select(F.explode(F.array(F.struct(F.lit("files").alias("item"), c("files").alias("n")), F.struct(F.lit("keys").alias("item"), c("keys").alias("n")))).alias("t")).select("t.*")
+    none = F.lit(None)
+    row = lambda df, section, item, n, detail: df.select(F.lit(section).alias("section"), item.alias("item"), n.cast("long").alias("n"), detail.cast("string").alias("detail"))
+    says = lambda a, y: F.concat(F.coalesce(a, F.lit("?")), F.lit("_"), F.coalesce(y, F.lit("?")))
+    apart = row(register.filter("status = 'mismatch'"), "mismatch", c("filename"), none, F.concat_ws(" | ", says("fn_author", "fn_year"), says("meta_author", "meta_year")))
+    noted = register.filter("status in ('landing_page', 'unknown')").select(c("status").alias("section"), c("filename").alias("item"), F.lit(None).cast("long").alias("n"), F.array_join("notes", "; ").alias("detail"))
+    groups = register.filter(kind == "duplicate_of").groupBy(F.substring_index("status", ":", -1).alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    top = groups.orderBy(F.desc("n"), "to").limit(CLUSTERS)
+    first = register.filter(kind == "duplicate_of").select(F.substring_index("status", ":", -1).alias("to"), "filename").join(F.broadcast(top), "to").withColumn("k", F.row_number().over(Window.partitionBy("to").orderBy("filename"))).filter("k <= 3")
+    shown = first.groupBy("to", "n").agg(F.array_join(F.array_sort(F.collect_list("filename")), ", ").alias("files"))
+    return row(counts, "status", c("item"), F.coalesce("n", F.lit(0)), none).unionByName(row(totals, "status", c("item"), c("n"), none)).unionByName(apart).unionByName(noted).unionByName(row(shown, "cluster", c("to"), c("n"), c("files")))
+
+
 def usable(register: DataFrame) -> DataFrame:
     """Rows of a register that a citation may rest on."""
     return register.filter(F.col("key").rlike(r"^[a-z][a-z'-]*_\d{4}[a-z]?$") & (F.col("status").isin("verified", "downloaded") | F.col("status").startswith("duplicate_of:")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text as X
 from provenant.operators import binding, citations, graph, mermaid, metrics, quotecheck, records, register
-from provenant.plans import library, projects, views
+from provenant.plans import boards, library, projects, views
 from provenant.sources import html_units
 
 F_ = F.col
@@ -282,7 +282,7 @@ def units_bind(s, d):
 
 QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, articulation_all, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
 
-QUERIES |= projects.QUERIES | views.QUERIES | library.QUERIES
+QUERIES |= projects.QUERIES | views.QUERIES | library.QUERIES | boards.QUERIES
 
 _N = "regexp_replace(lower(strip_accents(replace({0}, 'ß', 'ss'))), '[^a-z0-9]', '', 'g')"
 _D, _B = _N.format("d.text"), _N.format("b.text")
@@ -357,4 +357,5 @@ ORACLES["page_texts"] = rf"""WITH seen AS (SELECT page_id, regexp_replace(regexp
   pieces AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(h, '<[^>]*>', chr(3), 'g'), chr(3)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM seen),
   texts AS (SELECT page_id, {_PLAIN.format("array_to_string(p, ' ')")} AS t FROM pieces)
   SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(regexp_replace(t, '\s+', '', 'g')) AS digest FROM texts"""
-ORACLES |= projects.ORACLES | views.ORACLES | library.ORACLES
+ORACLES |= projects.ORACLES | views.ORACLES | library.ORACLES | boards.ORACLES
+ORACLES["gate_run_all"] = boards._gate_sql()
