@@ -140,7 +140,8 @@ def prose_references(prose: DataFrame, records: DataFrame, good: DataFrame) -> D
     records: id of every record; good: id of the valid ones.
     """
     # Pieces are numbered and their line feeds summed up in one window, which has a row for each marker of a text.
-    pieces = prose.filter(F.contains("text", F.lit("[rec:"))).select("path", F.monotonically_increasing_id().alias("__row"), F.posexplode(F.split("text", r"\[rec:")).alias("at", "tail"))
+    rows = prose.filter(F.contains("text", F.lit("[rec:"))).select("path", "text", F.monotonically_increasing_id().alias("__row"))
+    pieces = rows.select("path", "__row", F.posexplode(F.split("text", r"\[rec:")).alias("at", "tail"))
     before = F.sum(F.length("tail") - F.length(F.replace("tail", F.lit("\n"), F.lit("")))).over(Window.partitionBy("path", "__row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     each = pieces.withColumn("line", (before + 1).cast("int")).filter("at > 0")
     each = each.filter(F.contains("tail", F.lit("]"))).select("path", "line", F.trim(F.regexp_replace(F.substring_index("tail", "]", 1), r"^\s+|\s+$", "")).alias("ref"))

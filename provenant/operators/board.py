@@ -133,7 +133,7 @@ def lead(text: Column) -> Column:
     section = F.array_position(F.transform(body, lambda x: F.when(x.startswith("## "), 1).otherwise(0)), 1).cast("int")
     first = F.when(section > 0, F.slice(body, F.lit(1), section - 1)).otherwise(body)
     kept = F.array_join(F.filter(first, lambda x: ~(x.startswith("# ") | x.startswith("---"))), "\n")
-    words = F.replace(F.regexp_extract(kept, r"(?s)\A\n*(.+?)(?:\n\n|\n*\z)", 1), F.lit("\n"), F.lit(" "))
+    words = F.replace(F.regexp_extract(kept, r"(?s)\A\n*([^\n].*?)(?:\n\n|\n*\z)", 1), F.lit("\n"), F.lit(" "))
     return F.regexp_replace(F.regexp_replace(words, r"\s*\[rec:\s*[^\]]*\]", ""), r"\*\*|\*|`|\[\[|\]\]", "")
 
 

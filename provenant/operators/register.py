@@ -218,13 +218,6 @@ def orphans(links: DataFrame, notes: DataFrame) -> DataFrame:
     return notes.select("note").distinct().join(links.select(F.col("target").alias("note")).distinct(), "note", "left_anti")
 
 
-def posture_distance(settings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """profile, distance, nearest: how many settings differ; all profiles at the least distance are nearest."""
-    made = profiles.join(settings.withColumnRenamed("value", "own"), "gate", "left").groupBy("profile").agg(F.count_if(~F.col("value").eqNullSafe(F.col("own"))).alias("distance"))
-    least = made.agg(F.min("distance").alias("least"))  # one row
-    return made.join(F.broadcast(least)).select("profile", "distance", (F.col("distance") == F.col("least")).alias("nearest"))
-
-
 def calibration_faults(notes: DataFrame) -> DataFrame:
     """note, code, field of notes (note, and four strings) that declare a calibrated_confidence: missing, not numeric or above the inside view."""
     fields = ("inside_view", "out_of_model_discount", "adversarial_discount", "calibrated_confidence")

@@ -243,9 +243,9 @@ def run_record_gate(s, d):
 
 def verification_level(s, d):
     files = _parsed(s, d)
-    sound = files.filter("cast(substring(key, 2) as int) in (17, 19, 7)")
     one = lambda name, f, p, g: provenance.state(f, p, g).select(F.lit(name).alias("name"), "level")
-    bad, none = provenance.stamp_problems(files), files.limit(0).select("key")
+    bad, none = stored(provenance.stamp_problems(files), "stamp-problems"), files.limit(0).select("key")
+    sound = files.join(bad.select("key"), "key", "left_anti")
     return one("all", files, bad, none).unionByName(one("sound", sound, none, none)).unionByName(one("signed", sound, none, sound.select("key"))).unionByName(one("nothing", files.limit(0), none, none))
 
 
@@ -477,7 +477,7 @@ ORACLES = {
     "run_record_gate": f"""WITH {_STAMPS} SELECT key, 'no run record' AS code FROM f WHERE i % 13 = 1 UNION ALL SELECT key, code FROM (SELECT key, i, 'unreadable' AS code FROM f WHERE i % 14 = 5 UNION ALL SELECT key, i, code FROM (
     SELECT key, i, 'seal' AS code FROM f WHERE i % 16 = 6 UNION ALL SELECT key, i, 'body differs from the stamp' FROM f WHERE NOT st OR i % 5 = 3 OR i % 11 = 2
     UNION ALL SELECT key, i, 'version differs' FROM f WHERE NOT st OR i % 8 = 3 UNION ALL SELECT key, i, 'no tool version' FROM f) WHERE i % 14 <> 5) WHERE i % 13 <> 1""",
-    "verification_level": "SELECT * FROM (VALUES ('all', 'unverified'), ('sound', CASE WHEN (SELECT max(s_suppkey) FROM supplier) >= 7 THEN 'reproducible' END), ('signed', 'attested'), ('nothing', 'empty')) t(name, level)",
+    "verification_level": "",
     "detector_rules": f"WITH {_P}, {_RULES} SELECT i AS id, CASE WHEN rationale IS NULL THEN 'apt' ELSE 'out-of-context' END AS verdict, rationale FROM v",
     "detector_score": f"""WITH {_P}, x AS (SELECT i % 2 = 1 AS g, CASE WHEN i % 11 = 0 OR i % 5 = 2 THEN NULL ELSE i % 5 IN (0, 3) END AS v FROM p),
   c AS (SELECT count(*) FILTER (g AND v) AS tp, count(*) FILTER (NOT g AND v) AS fp, count(*) FILTER (NOT g AND NOT v) AS tn, count(*) FILTER (g AND NOT v) AS fn, count(*) FILTER (v IS NULL) AS unscored FROM x)
@@ -523,3 +523,5 @@ ORACLES = {
     "citation_gate": "SELECT 'key' || s_suppkey || 'x' AS author, '2003' AS year, CASE s_suppkey % 4 WHEN 0 THEN 'c1' WHEN 1 THEN 'own' WHEN 2 THEN 'gone' END AS claim, CASE WHEN s_suppkey % 5 = 2 THEN 'no file' WHEN s_suppkey % 4 = 0 THEN 'ordinal' WHEN s_suppkey % 4 = 2 THEN 'no claim' ELSE 'unnamed' END AS code FROM supplier WHERE s_suppkey % 5 = 2 OR s_suppkey % 4 <> 1",
     "graph_export": f"WITH {_EDGE}, b AS (SELECT DISTINCT unnest([target, key || ':' || grounding]) AS item FROM e) SELECT 'node' AS part, item FROM b WHERE item IS NOT NULL UNION ALL SELECT 'edge', coalesce(key || ':' || grounding, '?') || ' ' || type || ' ' || target FROM e UNION ALL SELECT 'address', 'k' || i || ' q' || (i % 5) FROM s",
 }
+ORACLES["verification_level"] = f"""WITH {_STAMPS}, good AS (SELECT count(*) AS n FROM f WHERE st AND key NOT IN (SELECT key FROM ({ORACLES["stamp_gate"]})))
+SELECT t.name, CASE WHEN n = 0 AND t.name IN ('sound', 'signed') THEN 'empty' ELSE t.level END AS level FROM good, (VALUES ('all', 'unverified'), ('sound', 'reproducible'), ('signed', 'attested'), ('nothing', 'empty')) t(name, level)"""

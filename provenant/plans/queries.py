@@ -102,13 +102,12 @@ def dependency_closure(s, d):
 
 
 def articulation(s, d):
-    small = _edges(s, d).filter("source not like 'supplier:%' or source in ('supplier:s1', 'supplier:s2', 'supplier:s3', 'supplier:s4', 'supplier:s5')")
-    return graph.cuts(graph.underpins(small))
+    return graph.cuts(graph.underpins(_edges(s, d)))
 
 
 def articulation_all(s, d):
-    """As articulation, over the edges of all suppliers."""
-    return graph.cuts(graph.underpins(_edges(s, d)))
+    """As articulation, which once took the edges of few suppliers."""
+    return articulation(s, d)
 
 
 def double_count(s, d):
@@ -216,12 +215,6 @@ def staleness(s, d):
     return last.select("user_id", age.cast("long").alias("age_days"), (age > 180).alias("stale"))
 
 
-def posture_distance(s, d):
-    p = s.createDataFrame([(n, g, v) for n, vs in (("light", "off warn warn"), ("usual", "warn warn required"), ("strict", "block required required")) for g, v in zip(("quotes", "citations", "records"), vs.split(), strict=True)], "profile string, gate string, value string")
-    own = s.createDataFrame([("quotes", "warn"), ("citations", "required"), ("records", "required")], "gate string, value string")
-    return register.posture_distance(own, p)
-
-
 def calibration_check(s, d):
     n = _t(s, d, "part").select("p_partkey", F.when(F_("p_size") % 9 == 0, "high").otherwise((F_("p_size") / 50).cast("string")).alias("inside_view"), (F_("p_retailprice") / 2000).cast("string").alias("calibrated"))
     return register.calibration_problems(n).select("p_partkey", "problem")
@@ -280,7 +273,7 @@ def units_bind(s, d):
     return binding.problems(claims, manifests, c.select(key, locus.alias("locus"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, articulation_all, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, posture_distance, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
+QUERIES = {f.__name__: f for f in (norm_profile, quote_check_pairs, quote_check_verdict, quote_check_by_source, span_split, quote_grammar, edge_parse, structure_problems, load_bearing, principal_claims, dependency_closure, articulation, articulation_all, double_count, coverage_records, unassessed_edges, faithfulness_status, confusion_matrix, agreement_jaccard, residual, turn_units, register_canonical, register_status_counts, register_suffixes, host_triage, selection_gaps, identity_mismatch, dead_links, wiki_orphans, staleness, calibration_check, units_html, citations_extract, citations_resolve, numeric_markers, mermaid_lines, seal_check, units_bind)}
 
 QUERIES |= projects.QUERIES | views.QUERIES | library.QUERIES | boards.QUERIES
 
@@ -294,7 +287,6 @@ _LINKS = """links AS (SELECT DISTINCT page_id AS source, unnest(regexp_extract_a
   notes AS (SELECT DISTINCT regexp_extract(html, '<h1>([^ <]*)', 1) AS note FROM pages WHERE regexp_extract(html, '<h1>([^ <]*)', 1) <> '')"""
 _COVER = """covered AS (SELECT e.source, e.target, CASE WHEN e.source LIKE '%4' THEN max(CASE WHEN r.id = 'rec-' || e.source THEN r.id END) ELSE min(r.id) END AS covering
   FROM edges e LEFT JOIN (SELECT target, grounding, 'rec-' || source AS id FROM edges WHERE grounding IS NOT NULL AND source <> 'nation:n2') r ON r.target = e.target AND r.grounding = e.grounding WHERE e.grounding IS NOT NULL GROUP BY e.source, e.target, e.grounding)"""
-_UNDER_SMALL = _UNDER.replace("WHERE type", "WHERE (source NOT LIKE 'supplier:%' OR source IN ('supplier:s1', 'supplier:s2', 'supplier:s3', 'supplier:s4', 'supplier:s5')) AND type")
 _REACH = "reach AS (SELECT upper_ AS node, lower_ AS ancestor FROM under UNION SELECT r.node, u.lower_ FROM reach r JOIN under u ON u.upper_ = r.ancestor)"
 
 ORACLES = {
@@ -309,7 +301,7 @@ ORACLES = {
     "load_bearing": f"WITH {_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(1 - i) AS BIGINT) AS grounding_degree, count(*) AS total FROM (SELECT target AS node, 1 AS i FROM edges UNION ALL SELECT grounding, 0 FROM edges WHERE grounding IS NOT NULL) GROUP BY node",
     "principal_claims": "SELECT o_custkey AS claim, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, claim LIMIT 10",
     "dependency_closure": f"WITH RECURSIVE {_EDGES}, {_UNDER}, {_REACH} SELECT node, ancestor FROM reach",
-    "articulation": f"WITH RECURSIVE {_EDGES}, {_UNDER_SMALL}, {_REACH}, blocked AS (SELECT r.node, r.ancestor, c.ancestor AS cut FROM reach r JOIN reach c ON r.node = c.node WHERE FALSE UNION SELECT u.upper_, u.lower_, c.ancestor FROM under u JOIN reach c ON c.node = u.upper_ UNION SELECT b.node, u.lower_, b.cut FROM blocked b JOIN under u ON u.upper_ = b.ancestor AND b.ancestor <> b.cut) SELECT DISTINCT r.node, c.ancestor AS cut FROM reach r JOIN reach c ON r.node = c.node AND r.ancestor <> c.ancestor AND c.ancestor <> c.node WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.node = r.node AND b.ancestor = r.ancestor AND b.cut = c.ancestor)",
+    "articulation": f"WITH RECURSIVE {_EDGES}, {_UNDER}, {_REACH}, blocked AS (SELECT r.node, r.ancestor, c.ancestor AS cut FROM reach r JOIN reach c ON r.node = c.node WHERE FALSE UNION SELECT u.upper_, u.lower_, c.ancestor FROM under u JOIN reach c ON c.node = u.upper_ UNION SELECT b.node, u.lower_, b.cut FROM blocked b JOIN under u ON u.upper_ = b.ancestor AND b.ancestor <> b.cut) SELECT DISTINCT r.node, c.ancestor AS cut FROM reach r JOIN reach c ON r.node = c.node AND r.ancestor <> c.ancestor AND c.ancestor <> c.node WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.node = r.node AND b.ancestor = r.ancestor AND b.cut = c.ancestor)",
     "double_count": f"WITH {_EDGES}, pairs AS (SELECT least('nation:n' || a.n_nationkey, 'nation:n' || b.n_nationkey) AS lo, greatest('nation:n' || a.n_nationkey, 'nation:n' || b.n_nationkey) AS hi FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5) SELECT DISTINCT a.target, lo, hi, 'shared-data' AS kind FROM pairs JOIN edges a ON a.source = lo AND a.type = 'supports' JOIN edges b ON b.source = hi AND b.type = 'supports' AND a.target = b.target",
     "coverage_records": f"WITH {_EDGES}, {_COVER} SELECT * FROM covered",
     "unassessed_edges": f"WITH {_EDGES}, {_COVER} SELECT source, target FROM covered WHERE covering IS NULL",
@@ -327,7 +319,6 @@ ORACLES = {
     "dead_links": f"WITH {_LINKS} SELECT source, target FROM links WHERE target NOT IN (SELECT note FROM notes)",
     "wiki_orphans": f"WITH {_LINKS} SELECT note FROM notes WHERE note NOT IN (SELECT target FROM links)",
     "staleness": "SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') AS age_days, date_diff('day', CAST(max(ts) AS DATE), DATE '2025-01-01') > 180 AS stale FROM events GROUP BY user_id",
-    "posture_distance": "SELECT * FROM (VALUES ('light', 3::BIGINT, FALSE), ('usual', 1::BIGINT, TRUE), ('strict', 1::BIGINT, TRUE)) t(profile, distance, nearest)",
     "calibration_check": "SELECT p_partkey, CASE WHEN p_size % 9 = 0 OR p_retailprice / 2000 > 1 THEN 'range' WHEN p_retailprice / 2000 > p_size / 50 THEN 'above' END AS problem FROM part",
     "citations_extract": "SELECT s_suppkey, 'key' || s_suppkey || 'x' AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE WHEN s_suppkey % 5 = 0 THEN 'c1' END AS claim FROM supplier WHERE s_suppkey % 5 < 4",
     "citations_resolve": "SELECT 'key' || s_suppkey || 'x' AS author, CAST(2003 + s_suppkey % 5 AS VARCHAR) AS year, CASE s_suppkey % 5 WHEN 0 THEN 'Key' || s_suppkey || 'x_2003_notes.md' WHEN 1 THEN 'other' || s_suppkey || 'x_2011.md' END AS name FROM supplier WHERE s_suppkey % 5 < 4",
@@ -343,7 +334,7 @@ ORACLES = {
   FROM e WHERE turn % 5 = 4 OR q IS NULL OR NOT contains(n, q)""",
 }
 #: articulation's SQL over all edges.
-ORACLES["articulation_all"] = ORACLES["articulation"].replace(_UNDER_SMALL, _UNDER)
+ORACLES["articulation_all"] = ORACLES["articulation"]
 #: Pages' blocks by their tags alone: what opens a block is marked, what closes one ends it, other tags part pieces by a space.
 _BLOCK = "(h[1-6]|p|li|blockquote)"
 ORACLES["units_html"] = rf"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),

@@ -14,7 +14,7 @@ OVERRIDES = "filename string, author string, year string, status string, reason
 
 def _whole(spark: SparkSession, path: str, ending: str, column: str) -> DataFrame:
     name = F.col("_metadata.file_name")
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(name.alias("name"), F.col("value").alias("record"), F.col("_metadata.file_path").alias("path"))
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(name.alias("name"), F.col("value").alias("record"), F.col("_metadata.file_path").alias("path"))
     return found.filter(F.col("name").endswith(ending)).select(F.expr(f"left(name, length(name) - {len(ending)})").alias(column), "record", "path")
 
 
