@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.operators.board import prefixes
+
 # gates' settings with what they may be, the one that holds where none is given first, profiles' differences, fields that a project fills in.
 POSTURES = {
     "claim_ids": ("optional", "off", "required"), "numeric_citations": ("warn", "ignore", "block"), "provenance": ("warn", "off", "required"), "structure_layer": ("optional", "off", "required"), "assessment_layer": ("optional", "off", "required"),
@@ -59,10 +61,24 @@ def placeholder(value: Column) -> Column:
     return F.coalesce((F.trim(value) == "") | F.trim(value).startswith("<"), F.lit(True))
 
 
-def states(settings: DataFrame, rules: DataFrame) -> DataFrame:
+def missing_paths(settings: DataFrame, files: DataFrame) -> DataFrame:
+    """project, path of what projects gate that isn't there: settings (project, name, value), files (project, path below the root).
+
+    A gated path is there if it is a file's or that of a folder above one.
+    """
+    get = F.max(F.when(F.col("name") == "gated_paths", F.col("value"))).alias("value")
+    asked = settings.groupBy("project").agg(get).select("project", F.explode(F.array_distinct(prefixes(F.col("value")))).alias("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    there = files.select("project", F.explode(above).alias("__place")).distinct()
+    return asked.withColumn("__place", F.regexp_replace("path", "/+$", "")).join(there, ["project", "__place"], "left_anti").select("project", "path")
+
+
+def states(settings: DataFrame, rules: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """project, state: pristine, drafted, configured or broken, from what is filled in and written, against what is declared.
 
-    settings: project, name, value. rules: project, written (whether its rules are more than the template's).
+    settings: project, name, value. rules: project, written (whether its rules are more than the template's). With files
+    (project, path), a project that gates a path that isn't there is broken and not configured.
     """
     get = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
     each = settings.groupBy("project").agg(*(get(n).alias(n) for n in (*REQUIRED, "skin_state", "project_state"))).join(rules, "project", "left")
@@ -71,6 +87,9 @@ def states(settings: DataFrame, rules: DataFrame) -> DataFrame:
     draft, sure = F.coalesce(skin == "draft", F.lit(False)), F.coalesce(skin == "confirmed", F.lit(False))
     found = F.when((open_ == len(REQUIRED)) & ~written & ~draft, "pristine").when((open_ == 0) & draft, "drafted").when((open_ == 0) & written, "configured").otherwise("broken")
     each = each.withColumn("found", found)
+    if files is not None:
+        lost = missing_paths(settings, files).select("project").distinct().withColumn("lost", F.lit(True))
+        each = each.join(lost, "project", "left").withColumn("found", F.when(F.col("lost") & (F.col("found") == "configured"), "broken").otherwise(F.col("found")))
     against = ((declared == "configured") & (F.col("found") == "drafted")) | (declared.isin("pristine", "configured") & F.col("found").isin("pristine", "configured") & (declared != F.col("found")))
     return each.select("project", F.when(F.coalesce(against, F.lit(False)), "broken").otherwise(F.col("found")).alias("state"))
 

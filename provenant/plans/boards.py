@@ -131,6 +131,19 @@ def unscanned_prose(s, d):
     return board.unscanned(*_prose(s, d))
 
 
+def gated_paths(s, d):
+    notes, settings = _prose(s, d)
+    return project.missing_paths(settings, notes)
+
+
+def project_states_on_disk(s, d):
+    """States of projects whose settings are all filled in, by what they gate and what is there."""
+    notes, settings = _prose(s, d)
+    n = _t(s, d, "nation").select(_cat("p", C("n_nationkey")).alias("project"))
+    filled = n.select("project", F.explode(F.array(*map(F.lit, project.REQUIRED))).alias("name")).withColumn("value", F.lit("given"))
+    return project.states(settings.withColumn("value", F.trim(F.substring_index("value", "#", 1))).unionByName(filled), n.withColumn("written", F.lit(True)), notes)
+
+
 def claim_numbering(s, d):
     i = C("s_suppkey")
     second = F.when(i % 4 == 0, "2").when(i % 4 == 1, "3").when(i % 4 == 2, "1").otherwise("two")
@@ -250,7 +263,7 @@ def gate_run_all(s, d):
     return gates.select("project", "gate", "status", "n", "blocking")
 
 
-QUERIES = {f.__name__: f for f in (project_counters, graph_nodes, graph_edges, graph_awaiting, claim_neighbours, supplier_orders, document_table, finding_leads, claim_comments, pair_kinds, pair_kind_gate, gated_prose, unscanned_prose, claim_numbering, superseded_claims, attestation_gate, analysis_report, citation_papers, register_review, register_divergence, record_files, case_files, override_files)}
+QUERIES = {f.__name__: f for f in (project_counters, graph_nodes, graph_edges, graph_awaiting, claim_neighbours, supplier_orders, document_table, finding_leads, claim_comments, pair_kinds, pair_kind_gate, gated_prose, unscanned_prose, gated_paths, project_states_on_disk, claim_numbering, superseded_claims, attestation_gate, analysis_report, citation_papers, register_review, register_divergence, record_files, case_files, override_files)}
 QUERIES["gate_run_all"] = gate_run_all
 
 _PAIRED = "pairs AS (SELECT i FROM s WHERE i % 6 = 2 AND i + 2 <= top)"
@@ -264,6 +277,9 @@ _PROSE = """n AS (SELECT n_nationkey AS i, 'p' || n_nationkey AS project, CASE W
     UNION ALL SELECT i, project, w, configured, 'content/log.md', true FROM n UNION ALL SELECT i, project, w, configured, 'content/_ledger/x' || i || '.md', true FROM n),
   g AS (SELECT *, path NOT LIKE '%verified_claims/%' AND CASE w WHEN 1 THEN path LIKE '%content/own/%' WHEN 2 THEN false WHEN 3 THEN false ELSE path LIKE '%content/concept_notes/%' END AS gated FROM f)"""
 
+_LOST = """asked AS (SELECT i, project, unnest(CASE w WHEN 1 THEN ['content/own/', 'other/'] WHEN 2 THEN [] WHEN 3 THEN ['nowhere/'] ELSE ['content/concept_notes/', 'content/literature_reviews/'] END) AS path FROM n),
+  lost AS (SELECT project, path FROM asked WHERE path IN ('other/', 'nowhere/', 'content/literature_reviews/') OR (path = 'content/own/' AND i IN (6, 16)) OR (path = 'content/concept_notes/' AND i % 5 <> 1))"""
+
 ORACLES = {
     "project_counters": f"""WITH {P._COVERED}, {_PAIRED}, fs AS (SELECT 'k' || i AS key, 'p' || (i % 4) AS project FROM s UNION ALL SELECT 'hub', 'p0'),
   ev AS (SELECT project, 'ledgers' AS what FROM fs UNION ALL SELECT project, 'edges' FROM c JOIN fs ON key = from_key UNION ALL SELECT project, 'assessed_edges' FROM c JOIN fs ON key = from_key UNION ALL SELECT project, 'unassessed_edges' FROM c JOIN fs ON key = from_key WHERE covering IS NULL
@@ -300,6 +316,8 @@ UNION ALL SELECT path, 'duplicate', 'kb ka' FROM n WHERE i % 2 = 0 UNION ALL SEL
     "gated_prose": f"WITH {_PROSE} SELECT project, path, gated, machinery FROM g",
     "unscanned_prose": f"""WITH {_PROSE}, r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY split_part(path, '/', -1)) AS k FROM g WHERE NOT machinery AND configured AND w <> 2),
   held AS (SELECT project FROM g WHERE gated) SELECT project, count(*) AS n_prose, string_agg(split_part(path, '/', -1), ', ' ORDER BY k) FILTER (k <= 5) AS examples FROM r WHERE project NOT IN (SELECT project FROM held) GROUP BY project""",
+    "gated_paths": f"WITH {_PROSE}, {_LOST} SELECT project, path FROM lost",
+    "project_states_on_disk": f"WITH {_PROSE}, {_LOST} SELECT project, CASE WHEN NOT configured OR project IN (SELECT project FROM lost) THEN 'broken' ELSE 'configured' END AS state FROM n",
     "claim_numbering": """WITH s AS (SELECT s_suppkey AS i, list_filter([CASE WHEN s_suppkey % 9 <> 5 THEN '1' END, CASE s_suppkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '3' WHEN 2 THEN '1' END], lambda x: x IS NOT NULL) AS l FROM supplier)
 SELECT 'k' || i AS key, array_to_string(l, ',') AS numbers FROM s WHERE len(l) > 0 AND array_to_string(l, ',') NOT IN ('1', '1,2')""",
     "superseded_claims": "SELECT DISTINCT 'k' || s_suppkey % 7 || ':a' AS target FROM supplier UNION SELECT 'k' || s_suppkey || ':old' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0",

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from provenant.operators import assessment, board, citations, register
+from provenant.operators import assessment, board, citations, project, register
 from provenant.sources import markdown, project_files
 
 
@@ -137,3 +137,16 @@ def test_lines_of_references(spark, copies):
     records = spark.createDataFrame([("x",), ("y",)], "id string")
     got = sorted((r["line"], r["ref"], r["outcome"]) for r in assessment.prose_references(prose, records, records.filter("id = 'x'")).collect())
     assert got == sorted([(2, "x", "valid"), (4, "y", "invalid"), (6, "z", "absent")] * copies)
+
+
+def test_missing_paths(spark):
+    settings = spark.createDataFrame([("p", "gated_paths", "a/b, a/b/ c.md, d"), ("q", "gated_paths", "none"), ("r", "other", "x")], "project string, name string, value string")
+    files = spark.createDataFrame([("p", "a/b/x.md"), ("p", "cc.md"), ("p", "c.md.bak"), ("r", "content/concept_notes/n.md")], "project string, path string")
+    assert sorted(tuple(r) for r in project.missing_paths(settings, files).collect()) == [("p", "c.md"), ("p", "d"), ("r", "content/literature_reviews/")]
+
+
+def test_ledger_scan(spark, tmp_path):
+    for name, text in {"B_2001.md": "## Claim 1\n", "a.md": "", "TEMPLATE.md": "no", "notes.txt": "no"}.items():
+        (tmp_path / name).write_text(text)
+    rows = markdown.read_files(spark, f"{tmp_path}/*.md").collect()
+    assert sorted((r["key"], r["text"]) for r in rows) == [("a", ""), ("b_2001", "## Claim 1\n")]
