@@ -182,6 +182,7 @@ def _scores(network: Network, texts: list[str | None]) -> list[float]:
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As quality_classifier, with a network that is given: nulls, repeated rows and other columns count as there."""
     plain = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"))
     got = map_batches(plain, lambda x: {"doc_id": x["doc_id"], "score": _scores(network, x["text"])}, f"doc_id {dict(plain.dtypes)['doc_id']}, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
