@@ -247,12 +247,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = values.groupBy("value").agg(F.count(F.lit(1)).alias("long"), F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n")).filter("long > 1")
     postings = cut(values.join(lists, "value"), "postings")
     stars = postings.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
-    links = cut(of.confirmed(ordered(stars)), "links-stars")
+
+    def together(roots: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
+        """Components, as node and root, of those so far and of what pairs link. What is linked so far goes on as a link to its root, so little is left to do."""
+        links = cut(of.confirmed(ordered(pairs)), name)
+        if roots is not None:
+            if is_empty(links):
+                return roots
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return cut(components(links), "components")
+
+    roots = together(None, stars, "links-stars")
 
     def labelled(table: DataFrame) -> DataFrame:
         """Adds comp, the smallest class of the component so far, and keeps lists that span several."""
-        roots = components(links).withColumnRenamed("node", "id")
-        comp = cut(table.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "labelled")
+        comp = cut(table.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "labelled")
         open_ = comp.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
         return comp.join(open_, "value")
 
@@ -260,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cut(labelled(postings.select("value", "id", "n", "long")), "open")
     short = open_.filter(F.col("long") <= LONG_LIST)
     side = lambda s: short.select("value", F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("comp").alias(f"c_{s}"))
-    links = cut(links.unionByName(of.confirmed(ordered(side("a").join(side("b"), "value").filter("a < b and c_a <> c_b")))), "links-lists")
+    roots = together(roots, side("a").join(side("b"), "value").filter("a < b and c_a <> c_b"), "links-lists")
 
     # A class of SURE values in short lists has met all it could be linked with there; so has one whose whole set is
     # indexed, if fewer of its values are in long lists than a linked set must share.
@@ -280,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         central = long_.join(ranked.select("id", "central"), "id")
         hubs = central.groupBy("value").agg(*(F.max_by(c, F.struct("central", "id")).alias(f"hub_{c}") for c in ("id", "n", "comp")))
         spread = central.join(hubs, "value").filter("hub_comp <> comp").select(F.col("hub_id").alias("a"), F.col("id").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
-        links = cut(links.unionByName(of.confirmed(ordered(spread))), "links-hubs")
+        roots = together(roots, spread, "links-hubs")
         # A posting carries the rarer values before it: a pair is weighed in the list of its first common value only. The
         # parities are compared inside the join, so pairs that aren't similar are never rows.
         rare = ranked.withColumn("prefix", F.slice("all.value", F.lit(1), _prefix(t)))
@@ -293,9 +302,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = f"c_a <> c_b and (m_b or a < b) and {_close(per_cent)} and not arrays_overlap(p_a, p_b) and {_differ(per_cent)}"
         side = lambda s, t: t.select("value", *(F.col(x).alias(f"{y}_{s}") for x, y in (("n", "n"), ("comp", "c"), ("main", "m"), ("before", "p"), ("odd", "o"))), F.col("id").alias(s))
         pairs = side("a", table.filter("not main")).join(side("b", table), "value").filter(near)
-        links = cut(links.unionByName(of.confirmed(ordered(pairs))), "links-deep")
+        roots = together(roots, pairs, "links-deep")
 
-    roots = nodes.select("id", "node", "doc_id").join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    roots = nodes.select("id", "node", "doc_id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     roots = cut(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
     found = cut(roots.join(smallest, "root").select("node", "component"), "found")
