@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.functions import text as X
+from provenant.functions.automata import automaton
+from provenant.sources.scratch import stored
 
 SEED, STRIDE = 16, 8
 #: Most characters of normalised quotes that are broadcast as one automaton, which takes about 50 bytes a character in each worker.
@@ -29,28 +31,24 @@ def contained(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
     quotes: quote_id, quote. texts: text_id, text; it may be a stream. Nulls contain nothing and are in nothing.
     """
-    needles = quotes.select("quote_id", X.norm("quote").alias("quote")).filter("quote <> ''")
-    size = needles.agg(F.coalesce(F.sum(F.length("quote") + 16), F.lit(0))).first()[0]
-    return _scanned(needles, texts) if size <= BROADCAST_CHARS else _joined(needles, texts)
+    needles = stored(quotes.select("quote_id", X.norm("quote").alias("quote")).filter("quote <> ''"), "needles")  # normalised once
+    size = needles.agg(F.coalesce(F.sum(F.length("quote") + 16), F.lit(0)).alias("n"), F.coalesce(F.sum(F.xxhash64("quote_id", "quote").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("key")).first()
+    return _scanned(needles, texts, size["key"]) if size["n"] <= BROADCAST_CHARS else _joined(needles, texts)
 
 
-def _scanned(needles: DataFrame, texts: DataFrame) -> DataFrame:
+def _scanned(needles: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     ids: dict[str, list] = {}
     for r in needles.collect():  # bounded by BROADCAST_CHARS
         ids.setdefault(r["quote"], []).append(r["quote_id"])
+    owned = texts.sparkSession.sparkContext.broadcast(ids)
     kinds = {"quote_id": dict(needles.dtypes)["quote_id"], "text_id": dict(texts.dtypes)["text_id"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for needle, owners in ids.items():
-            automaton.add_word(needle, owners)
-        automaton.make_automaton()
+        scan = automaton(f"quotes {key}", owned.value)
         for batch in batches:
             found: tuple[list, list] = ([], [])
             for text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hit = {id(owners): owners for _, owners in automaton.iter(X.norm_text(text))} if text and ids else {}
+                hit = {id(owners): owners for _, owners in scan.iter(X.norm_text(text))} if text and scan else {}
                 for owners in hit.values():
                     found[0].extend(owners)
                     found[1].extend([text_id] * len(owners))

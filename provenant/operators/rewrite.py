@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.functions.automata import automaton
+
 #: Most characters of names and their replacements that are broadcast. The automaton takes about 50 bytes a character in each worker.
 BROADCAST_CHARS = 500_000
 #: Words of a name that texts and names are joined by.
@@ -24,7 +26,6 @@ FIRST = 3
 _INNER = re.compile(r"[\w:-]")
 _WORDS = re.compile(r"[\w:-]+")
 _BATCH = 500
-_built: dict[str, object] = {}
 
 
 def stands_alone(text: str, start: int, end: int) -> bool:
@@ -51,20 +52,6 @@ def replaced(text: str, places: list[tuple[int, str]], to: dict[str, str]) -> st
     return "".join([*parts, text[at:]])
 
 
-def _automaton(key: str, names: list[str]):
-    """One for each set of names and worker, however many tasks the worker runs."""
-    import ahocorasick
-
-    if key not in _built:
-        made = ahocorasick.Automaton()
-        for name in names:
-            made.add_word(name, name)
-        made.make_automaton()
-        _built.clear()
-        _built[key] = made
-    return _built[key]
-
-
 def rewrite(texts: DataFrame, names: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """text_id, text, n_replaced (long) of texts (text_id, text), with each name (names: name, replacement) replaced.
 
@@ -87,7 +74,7 @@ def _scanned(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     to = texts.sparkSession.sparkContext.broadcast({r["name"]: r["replacement"] for r in names.collect()})  # bounded by broadcast_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _automaton(key, list(to.value)) if to.value else None
+        scan = automaton(f"names {key}", {name: name for name in to.value})
         for whole in batches:
             for at in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(at, _BATCH)
