@@ -56,7 +56,7 @@ def blocks(lines: list[str], first: int) -> Iterator[dict]:
 
 
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
-    """key (file stem in lower case) and text of files, templates left out."""
+    """key (file stem in lower case) and text of files, templates left out; a file without a byte has no row, as Spark passes it over."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
     return spark.read.text(glob, wholetext=True).select(stem.alias("stem"), F.col("value").alias("text")).filter("stem <> 'TEMPLATE'").select(F.lower("stem").alias("key"), "text")
 

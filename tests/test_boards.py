@@ -146,7 +146,7 @@ def test_missing_paths(spark):
 
 
 def test_ledger_scan(spark, tmp_path):
-    for name, text in {"B_2001.md": "## Claim 1\n", "a.md": "", "TEMPLATE.md": "no", "notes.txt": "no"}.items():
+    for name, text in {"B_2001.md": "## Claim 1\n", "a.md": "\n", "empty.md": "", "TEMPLATE.md": "no", "notes.txt": "no"}.items():
         (tmp_path / name).write_text(text)
     rows = markdown.read_files(spark, f"{tmp_path}/*.md").collect()
-    assert sorted((r["key"], r["text"]) for r in rows) == [("a", ""), ("b_2001", "## Claim 1\n")]
+    assert sorted((r["key"], r["text"]) for r in rows) == [("a", "\n"), ("b_2001", "## Claim 1\n")]
