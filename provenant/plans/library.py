@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenant.operators import aliases, bundle, rewrite, store
 from provenant.plans.projects import _cat, _on, _t
 from provenant.sources import article_xml, bibliography, inventory
-from provenant.sources.scratch import scratch_path, stored
+from provenant.sources.scratch import scratch_path, stored, written_files
 
 C = F.col
 
@@ -133,15 +133,15 @@ def _file_of(i, changed=None):
 
 def _files(s, d, rows, changed=None):
     """scan()ned files, one for each supplier in rows, that are written first, each in a folder of its name."""
-    path, i = scratch_path(s, "files"), C("s_suppkey")
-    rows.select(_cat("k", i, F.when(i % 3 == 0, ".html").when(i % 3 == 1, ".xml").otherwise(".txt")).alias("file"), _file_of(i, changed).alias("value")).write.partitionBy("file").text(path)
+    i = C("s_suppkey")
+    path = written_files(rows.select(_cat("k", i, F.when(i % 3 == 0, ".html").when(i % 3 == 1, ".xml").otherwise(".txt")).alias("file"), _file_of(i, changed).alias("value")), "file", "value", "files")
     found = inventory.scan(s, path, "*", recursive=True).withColumn("path", F.regexp_extract("path", "file=([^/]*)/", 1))
     return found.withColumn("extension", F.regexp_extract("path", r"\.([^.]*)$", 1))
 
 
 def file_manifest(s, d):
     """The nodes of the manifest over a file for each supplier."""
-    return inventory.tree(_files(s, d, _t(s, d, "supplier")).select("path", "sha256"))
+    return inventory.tree(stored(_files(s, d, _t(s, d, "supplier")).select("path", "sha256"), "manifest"))  # else each level reads the files anew
 
 
 def _two_states(s, d):

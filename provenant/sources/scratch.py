@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
+#: Files that one task writes and, as they stand in a folder of its own, one task lists; and least such folders, as Spark
+#: lists more than 32 folders in tasks, but each folder of fewer in a job of its own.
+FILES, FOLDERS = 250, 48
+#: Characters that Spark writes by their numbers in folders' names.
+ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named in spark.checkpoint.dir.
@@ -55,3 +64,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _name(value: str) -> str:
+    """A name as Spark writes it in a folder's."""
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in value)
+
+
+def written_files(df: DataFrame, name_col: str, value_col: str, name: str) -> str:
+    """Writes a row's text and a line end as a file in a folder name_col=its name, and returns the path of the whole.
+
+    Names are dealt to tasks by their hash, and what a task writes stands in a folder of that task. So writing and listing
+    are spread over tasks that have about FILES files each, however few partitions df has. Rows of one name are lines of one
+    file. Where the shared folder is mounted, tasks write by themselves, as Hadoop's local file system starts a program for
+    each file; elsewhere Spark's writer does. Files and their folders are the same, but for the files' own names.
+    """
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), df.count()
+    parts = max(1, min(n, max(FOLDERS, -(-n // FILES))))
+    dealt = df.select(F.col(name_col).alias("name"), F.coalesce(value_col, F.lit("")).alias("value")).repartition(parts, "name").withColumn("task", F.spark_partition_id())
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        dealt.withColumnRenamed("name", name_col).write.partitionBy("task", name_col).text(path)
+        return path
+    root = target.toUri().getPath()
+    os.makedirs(root)
+
+    def write(batches):
+        seen = set()  # about FILES names
+        for batch in batches:
+            for key, value, task in zip(*(batch.column(c).to_pylist() for c in ("name", "value", "task")), strict=True):
+                folder = f"{root}/task={task}/{name_col}={_name(key)}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/part.txt", "ab" if key in seen else "wb") as file:  # a repeated task begins anew
+                    file.write(value.encode() + b"\n")
+                seen.add(key)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return path
