@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provenant.operators import assessment, board, citations, faithfulness, project, register
 from provenant.plans import projects as P
 from provenant.sources import markdown, project_files
-from provenant.sources.scratch import scratch_path, stored
+from provenant.sources.scratch import scratch_path, stored, written_files
 
 C, _cat, _on, _t, _I = F.col, P._cat, P._on, P._t, P._I
 
@@ -210,9 +210,8 @@ def register_divergence(s, d):
 def record_files(s, d):
     """The record gate over records that are written as files, each in a folder of its name, and read from there."""
     records, files = P._records(s, d)
-    path = scratch_path(s, "record-files")
     # Two records may have one name, so their digests tell the folders apart.
-    records.select(F.concat_ws("@", "stem", F.sha2("record", 256)).alias("stem"), "record").write.partitionBy("stem").text(path)
+    path = written_files(records.select(F.concat_ws("@", "stem", F.sha2("record", 256)).alias("stem"), "record"), "stem", "record", "record-files")
     read = project_files.read_records(s, path, "")
     back = read.select(F.regexp_extract("path", "stem=(.*?)(?:@|%40)[0-9a-f]{64}/", 1).alias("stem"), F.regexp_replace("record", r"\n$", "").alias("record"))
     return assessment.record_problems(stored(back, "records"), files).select("id", "code", "detail")
