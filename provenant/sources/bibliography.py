@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.operators.register import DOI, YEAR, ascii_fold
+from provenant.sources.html_units import closed_references
 
 # Where a page says what it is, the first kind that it has counts. ld: is of JSON-LD, title of the element.
 TITLE = ("citation_title", "DC.Title", "title", "ld:headline", "ld:name")
@@ -69,7 +70,7 @@ class _Tags(HTMLParser):
 
 def tags_of(page: str | None) -> list[dict[str, str]]:
     parser = _Tags()
-    parser.feed(page or "")
+    parser.feed(closed_references(page or ""))
     parser.close()
     return [{"name": n, "content": c} for n, c in parser.found if c]
 
