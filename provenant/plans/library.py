@@ -55,8 +55,12 @@ def alias_sanity(s, d):
     return aliases.problems(found, c.select(F.lit("p").alias("project"), _cat("k", C("i")).alias("key")))
 
 
+#: About how many articles a file holds; Spark reads an XML file in one task.
+ARTICLES = 20_000
+
+
 def _article_files(s, d):
-    """A folder of XML, an article a line, of parts: two kinds of markup, with titles, names and dates that need care."""
+    """A folder of XML files of about ARTICLES articles, one a line, of parts: two kinds of markup, with titles, names and dates that need care."""
     i = C("p_partkey")
     title = _cat("\n The <i>", C("p_name"), "</i> &amp; its ", C("p_type"), " ")
     pub = _cat(
@@ -68,8 +72,9 @@ def _article_files(s, d):
         "<article article-type=\"x\"><front><journal-meta><journal-title-group><journal-title>", C("p_brand"), "</journal-title></journal-title-group></journal-meta><article-meta><article-id pub-id-type=\"publisher-id\">", i, "</article-id>", _on(i % 5 == 1, "<article-id pub-id-type=\"doi\">doi:10.1016/J", i, "</article-id>"),
         "<title-group><article-title>", F.replace(title, F.lit("\n"), F.lit(" ")), "</article-title></title-group><contrib-group><contrib><collab>A group</collab></contrib><contrib><name><surname> Löwe", C("p_size"), " </surname></name></contrib></contrib-group><pub-date><day>1</day><year>in ", F.lit(2000) + i % 20, "</year></pub-date></article-meta></front><body><p>text</p></body></article>",
     )
-    path = scratch_path(s, "articles")
-    _t(s, d, "part").select(F.when(i % 2 == 0, pub).otherwise(jats).alias("value")).mapInArrow(_one_root, "value string").write.text(path)
+    path, parts = scratch_path(s, "articles"), _t(s, d, "part")
+    files = -(-parts.count() // ARTICLES)
+    parts.repartition(max(1, files), "p_partkey").select(F.when(i % 2 == 0, pub).otherwise(jats).alias("value")).mapInArrow(_one_root, "value string").write.text(path)
     return path
 
 
