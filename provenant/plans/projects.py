@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from provenant.functions import text as X
 from provenant.operators import assessment, citations, faithfulness, metrics, project, provenance, quotecheck, register, selection, synthesis
 from provenant.sources import fields, html_units, markdown
-from provenant.sources.scratch import stored
+from provenant.sources.scratch import bounded_batches, stored
 
 C = F.col
 NONE = "cast(null as string)"
 
 
 def _t(s, d, name):
+    bounded_batches(s)
     return s.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -9,11 +9,13 @@ from provenant.functions import text as X
 from provenant.operators import binding, citations, graph, mermaid, metrics, quotecheck, records, register
 from provenant.plans import boards, library, projects, views
 from provenant.sources import html_units
+from provenant.sources.scratch import bounded_batches
 
 F_ = F.col
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

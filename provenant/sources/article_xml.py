@@ -1,4 +1,4 @@
-"""Bibliographic XML, of PubMed and of JATS, by declared schemas: Spark's XML source splits files at articles."""
+"""Bibliographic XML, of PubMed and of JATS, by declared schemas. Spark reads a file in one task, article by article."""
 
 from __future__ import annotations
 

@@ -20,6 +20,18 @@ FILES, FOLDERS = 250, 48
 ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")
 
 
+#: Most rows that a Python worker gets at once: a batch of whole texts has to fit several times over, and each core has a worker.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, for good, as results are lazy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named in spark.checkpoint.dir.
 
