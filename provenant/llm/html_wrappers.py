@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import functools
 import html as references
+import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ BROADCAST_BYTES = 16 << 20
 #: Where less than this part of the text is in slots, pages are copies of one, which differ in a counter or a date, and not a
 #: layout: of the text of elements that HTML marks as main ones, and where there are none of all text.
 COPIES = {"marked": 0.5, "all": 0.2}
-#: Streams that are aligned in one task, most blocks of one turn of a repeated group, and most items of a wrapper: streams
-#: that need more have no form in common.
+#: Streams that are aligned in one task, most blocks of one turn of a repeated group, and most items of what inferred() gives
+#: where its caller sets no bound; wrappers() sets none.
 AT_ONCE, TURN, ITEMS = 8, 6, 4000
-#: Largest product of lengths that are compared cell by cell.
+#: Cells of an alignment's table that are held at once.
 CELLS = 1_000_000
 #: Ends each key in a path's string.
 END = "\x1f"
@@ -307,18 +308,20 @@ def stream(parts: list[tuple[int, bool, bool]]) -> list[Item]:
 def _folded(items: list[Item], turns: set[tuple[int, ...]]) -> list[Item]:
     """Items with single slots that are a turn of a group elsewhere as one turn of it, and its repeats joined."""
     made, i = [], 0
-    by_first: dict[int, list[tuple[int, ...]]] = {}
-    for t in turns:
-        by_first.setdefault(t[0], []).append(t)
+    longest = max(map(len, turns), default=0)
     while i < len(items):
         x = items[i]
+        run = []
+        for r in items[i : i + longest]:
+            if len(r.ids) > 1 or r.const or r.many or r.optional:
+                break
+            run.append(r)
         found = None
-        if not x.const and len(x.ids) == 1 and not x.many:
-            for t in sorted(by_first.get(x.ids[0], ()), key=lambda t: (-len(t), t)):
-                run = items[i : i + len(t)]
-                if len(run) == len(t) > 1 and all(r.ids == (k,) and not (r.const or r.many or r.optional) for r, k in zip(run, t, strict=True)):
-                    found = Item(t, False, any(r.inside for r in run), False, False)
-                    break
+        for n in range(len(run), 1, -1):
+            t = tuple(r.ids[0] for r in run[:n])
+            if t in turns:
+                found = Item(t, False, any(r.inside for r in run[:n]), False, False)
+                break
         x, i = found or x, i + (len(found.ids) if found else 1)
         if made and not x.const and made[-1].ids == x.ids and not made[-1].const:
             made[-1] = made[-1]._replace(many=True, optional=made[-1].optional and x.optional)
@@ -327,41 +330,68 @@ def _folded(items: list[Item], turns: set[tuple[int, ...]]) -> list[Item]:
     return made
 
 
+def _heaviest(x: list, y: list, weights: list[int]) -> list[tuple[int, int]]:
+    """Places of a heaviest common subsequence of x and y.
+
+    A table of the weight of what follows has a row for each item of x and a column for each of y, of those that the other
+    list has too. About CELLS of it are held at once: of a larger one rows at even distances, from which the rows between
+    are made again on the way. So memory grows with the lists and not with their product, and CELLS changes no place.
+    """
+    both = set(x) & set(y)
+    rows = [i for i, k in enumerate(x) if k in both]
+    column, where = [0], {}  # type: list[int], dict[object, list[int]]
+    for k in y:
+        if k in both:
+            where.setdefault(k, []).append(column[-1])
+        column.append(column[-1] + (k in both))
+    at = {k: np.array(v) for k, v in where.items()}
+    width = column[-1]
+    found: list[tuple[int, int]] = []
+
+    def above(under: np.ndarray, r: int) -> np.ndarray:
+        row, match = under.copy(), at[x[rows[r]]]
+        row[match] = np.maximum(row[match], under[match + 1] + weights[rows[r]])
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    def walk(low: int, high: int, last: np.ndarray, j: int) -> int:
+        """Goes from place j of y through rows low to high, of which last is the one at high; the place then."""
+        step = -(-(high - low) // max(2, CELLS // (width + 1)))
+        held = {high: last}
+        for r in range(high - 1, low - 1, -1):
+            last = above(last, r)
+            if (r - low) % step == 0:
+                held[r] = last
+        for r in range(low, high, step):
+            top, under = held.pop(r), held[min(r + step, high)]
+            if step > 1:
+                j = walk(r, min(r + step, high), under, j)
+                continue
+            i = rows[r]
+            while j < len(y):
+                c = column[j]
+                if x[i] == y[j] and top[c] == under[c + 1] + weights[i]:
+                    found.append((i, j))
+                    j += 1
+                    break
+                if top[c] == under[c]:
+                    break
+                j += 1
+        return j
+
+    if rows:
+        walk(0, len(rows), np.zeros(width + 1, np.int64), 0)
+    return found
+
+
 def _matches(a: list, b: list, weights: list[int]) -> list[tuple[int, int]]:
-    """Places of a heaviest common subsequence; of long lists one by what occurs once in both, then in order."""
+    """Places of a heaviest common subsequence in which equal beginnings and ends stand in their places."""
     start, ends = 0, 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     while ends < min(len(a), len(b)) - start and a[-1 - ends] == b[-1 - ends]:
         ends += 1
     edges = [(i, i) for i in range(start)], [(len(a) - k, len(b) - k) for k in range(ends, 0, -1)]
-    x, y = a[start : len(a) - ends], b[start : len(b) - ends]
-    found: list[tuple[int, int]] = []
-    if x and y and len(x) * len(y) <= CELLS:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            row, below, w = best[i], best[i + 1], weights[start + i]
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = max(below[j + 1] + w if x[i] == y[j] else 0, below[j], row[j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j] and best[i][j] == best[i + 1][j + 1] + weights[start + i]:
-                found.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i][j] == best[i + 1][j]:
-                i += 1
-            else:
-                j += 1
-    elif x and y:
-        places: dict[object, list[int]] = {}
-        for j, k in enumerate(y):
-            places.setdefault(k, []).append(j)
-        once, at = {k for k, n in Counter(x).items() if n == 1 and len(places.get(k, ())) == 1}, 0
-        for i, k in enumerate(x):  # anchors first come first; other items only where they don't pass one
-            j = next((p for p in places.get(k, ()) if p >= at), None)
-            if j is not None and (k in once or not any(q in once for q in y[at:j])):
-                found.append((i, j))
-                at = j + 1
+    found = _heaviest(a[start : len(a) - ends], b[start : len(b) - ends], weights[start : len(a) - ends])
     return edges[0] + [(start + i, start + j) for i, j in found] + edges[1]
 
 
@@ -387,12 +417,12 @@ def aligned(a: list[Item], b: list[Item]) -> tuple[list[Item], list[int]]:
     return made, place
 
 
-def inferred(streams: list[list[Item]]) -> list[Item]:
-    """The wrapper of streams or wrappers, aligned one after the other; nothing if it has too many items."""
+def inferred(streams: list[list[Item]], most: float | None = None) -> list[Item]:
+    """The wrapper of streams or wrappers, aligned one after the other; nothing if it has more than most items (ITEMS where it isn't given)."""
     made = streams[0]
     for s in streams[1:]:
         made = aligned(made, s)[0] if made and s else []
-        if len(made) > ITEMS:
+        if len(made) > (ITEMS if most is None else most):
             return []
     return made
 
@@ -457,11 +487,12 @@ def wrappers(streams: DataFrame) -> DataFrame:
     """place and wrapper of each layout. streams: place and stream of its pages, equal ones as often as they come.
 
     Each round aligns about AT_ONCE streams or wrappers of a layout, told apart by a hash, so no task has many of a hot host.
+    A wrapper has as many items as its streams need.
     """
     now = cut(streams.select("place", F.col("stream").alias("wrapper")).distinct(), "streams")
 
     def rows(x):
-        return {"place": x["place"], "wrapper": [_rows(inferred([_items(s) for s in group])) for group in x["group"]]}
+        return {"place": x["place"], "wrapper": [_rows(inferred([_items(s.as_py()) for s in group.values], math.inf)) for group in x["group"]]}
 
     while True:
         sizes = cut(now.groupBy("place").agg(F.count(F.lit(1)).alias("n")), "sizes")
@@ -470,7 +501,7 @@ def wrappers(streams: DataFrame) -> DataFrame:
         buckets = F.when(F.col("n") <= 2 * AT_ONCE, 1).otherwise(F.ceil(F.col("n") / AT_ONCE))
         dealt = now.join(sizes, "place").withColumn("bucket", F.pmod(F.xxhash64("wrapper"), buckets))
         grouped = dealt.groupBy("place", "bucket").agg(F.array_sort(F.collect_list("wrapper")).alias("group"))
-        now = cut(map_batches(grouped.select("place", "group"), rows, f"place long, wrapper {ITEM}"), "wrappers")
+        now = cut(map_batches(grouped.select("place", "group"), rows, f"place long, wrapper {ITEM}", ("group",)), "wrappers")
 
 
 def _streamed(placed: DataFrame) -> DataFrame:
@@ -503,8 +534,10 @@ def decided(pages: DataFrame) -> DataFrame:
         for place, blocks_, constants, region_, wrapper in zip(x["place"], x["blocks"], x["constants"], x["region"], x["wrapper"], strict=True):
             best = min((b["main"] for b in blocks_ if b["main"] >= 0), default=-1)
             kept, by = None, "wrapper"
-            if wrapper is not None:
-                form_ = known.setdefault(place, _items(wrapper))
+            if wrapper.is_valid:
+                if place not in known:
+                    known[place] = _items(wrapper.as_py())
+                form_ = known[place]
                 fixed = set(constants)
                 keys = [b["key"] for b in blocks_]
                 inside = [b["path"].startswith(region_) for b in blocks_]
@@ -520,7 +553,7 @@ def decided(pages: DataFrame) -> DataFrame:
         return out
 
     keyed = placed.withColumn("blocks", F.expr("transform(blocks, b -> struct(b.path as path, b.text as text, b.main as main, xxhash64(b.path, b.text) as key, xxhash64(b.path) as place))"))
-    got = map_batches(keyed.select("page_id", "url", "place", "blocks", "constants", "region", "wrapper"), rows, f"page_id {dict(whole.dtypes)['page_id']}, url string, text string, by string")
+    got = map_batches(keyed.select("page_id", "url", "place", "blocks", "constants", "region", "wrapper"), rows, f"page_id {dict(whole.dtypes)['page_id']}, url string, text string, by string", ("wrapper",))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by")
 
 
