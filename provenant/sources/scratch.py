@@ -20,6 +20,8 @@ FILES, FOLDERS = 250, 48
 ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^")
 
 
+#: Rows that one task makes texts of.
+DEALT = 10_000
 #: Most rows that a Python worker gets at once: a batch of whole texts has to fit several times over, and each core has a worker.
 BATCH_ROWS = 500
 
@@ -78,6 +80,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to tasks by a key, about DEALT rows each.
+
+    A file of keys is so small that Spark reads it in one task or a few, however many texts are made of its rows, and the
+    work on these would stay in those tasks.
+    """
+    parts = -(-df.count() // DEALT)
+    return df.repartition(parts, key) if parts > 1 else df
+
+
 def _name(value: str) -> str:
     """A name as Spark writes it in a folder's."""
     return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in value)
